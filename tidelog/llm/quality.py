@@ -26,7 +26,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 #: How many interquartile ranges beyond the quartiles a band reaches.
 REACH = 6.0
 #: The least half width of each band.
-LEAST = {"chars_per_token": 1.5, "byte_share": 0.2, "token_entropy": 3.0}
+LEAST = {"chars_per_token": 1.0, "byte_share": 0.15, "token_entropy": 2.5}
 #: Texts with fewer tokens are not judged by the bands: their measures are noise.
 LEAST_TOKENS = 64
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
