@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, simhash, substring, warc
+from . import langid, packing, quality, secrets, simhash, spotsigs, substring, warc
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op6_substring_dedup, op8_warc, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_document_fingerprints, op6_substring_dedup, op8_warc, op9_quality_rules, op10_packing)}
 
 
 #: The archives are the operator's way; what they must give back is plain SQL.
