@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, simhash, spotsigs, substring, warc
-from .common import documents
+from . import langid, lm, packing, quality, secrets, segmentation, simhash, spotsigs, substring, warc
+from .common import documents, remainder_of_id
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,22 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edits(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = segmentation.encode_documents(docs.select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "ids", "n_pieces", "n_bytes", "log_score", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_documents(documents(spark, sf_dir), remainder_of_id(10) != 0)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -48,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_document_fingerprints, op6_substring_dedup, op8_warc, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_document_fingerprints, op5_sentencepiece, op6_substring_dedup, op7_lm_scoring, op8_warc, op9_quality_rules, op10_packing)}
 
 
 #: The archives are the operator's way; what they must give back is plain SQL.
