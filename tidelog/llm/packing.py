@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import materialize
-from .pieces import PieceEncoder, read_model
+from .pieces import PieceCounter, read_model, shared
 
 #: Cells of the histogram: lengths up to this are exact; longer ones are rounded up by less than 1 in ``CELLS / 8``.
 CELLS = 4096
@@ -32,9 +32,9 @@ def token_counts(docs: DataFrame, model: bytes | None = None, id_col: str = "doc
     model = model or read_model()
 
     def run(batches):
-        encoder = PieceEncoder(model)
+        counter = shared(PieceCounter, model)
         for b in batches:
-            n = [len(encoder.encode([x.as_py()])[0]) if x.is_valid else 0 for x in b.column(1)]
+            n = [counter.count(x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_tokens long")
@@ -91,7 +91,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, key:
     least (a document longer than the budget is a batch of its own). A null length counts as zero. The order inside a
     bucket follows a hash of the key; rows with equal keys may stand in any order. An empty table gives an empty result.
     """
-    spark = lengths.sparkSession
+    lengths = materialize(lengths, "lengths")
     n = F.coalesce(F.col(length), F.lit(0)).cast("long")
     rows = lengths.withColumn("__n", n).withColumn("__cell", cell_of("__n"))
     histogram = rows.groupBy("__cell").count().orderBy("__cell").toPandas()
@@ -101,7 +101,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, key:
     shards = min(SHARDS, max(1, -(-total // SHARD_ROWS)))
     rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("__cell"))))
     rows = rows.withColumn("bucket_tokens", F.element_at(edges, F.col("bucket") + 1)).withColumn("__hash", F.xxhash64(F.col(key), F.col("__n")))
-    rows = materialize(rows.withColumn("__shard", F.pmod("__hash", F.lit(shards)).cast("int")), "lengths")
+    rows = rows.withColumn("__shard", F.pmod("__hash", F.lit(shards)).cast("int"))
     sizes = rows.groupBy("__shard", "bucket").agg(F.count("*").alias("__size"))
     first = F.coalesce(F.sum("__size").over(W.Window.partitionBy("bucket").orderBy("__shard").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     begins = materialize(sizes.select("__shard", "bucket", first.alias("__begin")), "begins")

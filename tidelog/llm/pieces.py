@@ -7,12 +7,14 @@ each word, with its marker, is encoded once and looked up afterwards.
 from __future__ import annotations
 
 import os
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
 MARK = "▁"
 #: Words that an encoder remembers before it starts anew.
-CACHE = 400_000
+CACHE = 800_000
 DEFAULT_FILE = "piece_bpe_32k.model"
 
 
@@ -30,45 +32,60 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
-class PieceEncoder:
-    """Piece ids of words by the vocabulary's own tokenizer."""
+class WordCache(dict):
+    """What is known of words: a missing one is learned; begun anew, between texts, when it holds ``CACHE`` words."""
 
+    def __missing__(self, word: str):
+        value = self[word] = self.learn(word)
+        return value
+
+    def learn(self, word: str):
+        raise NotImplementedError
+
+    def look_up(self, text: str):
+        """The known values of the text's words (split at single spaces); none for an empty text."""
+        if len(self) > CACHE:
+            self.clear()
+        return map(self.__getitem__, text.split(" ")) if text else ()
+
+
+class _Pieces(WordCache):
     def __init__(self, model: bytes):
         import sentencepiece
 
+        super().__init__()
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.vocab_size())])
         self._mark = self.sp.piece_to_id(MARK)
-        self._known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        """What ``encode`` treats one by one: the text split at single spaces."""
-        return text.split(" ")
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self._known) + len(words) > CACHE:
-            self._known.clear()
-        words = list(words)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, ids in zip(part, self.sp.encode(part, num_threads=1)):
-                self._known[w] = np.array(ids if w else [self._mark], np.int32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Piece ids of each text."""
-        out = []
-        for text in texts:
-            words = self.words(text) if text else []
-            try:
-                joined = b"".join(map(self._known.__getitem__, words))
-            except KeyError:
-                self._learn({w for w in words if w not in self._known} if len(self._known) < CACHE else set(words))
-                joined = b"".join(map(self._known.__getitem__, words)) if all(w in self._known for w in words) else self._each(words)
-            out.append(np.frombuffer(joined, np.int32))
-        return out
-
-    def _each(self, words: list[str]) -> bytes:
-        """For a text with more new words than the cache was ready for."""
-        self._known.clear()
-        self._learn(set(words))
-        return b"".join(map(self._known.__getitem__, words))
+
+    def ids_of(self, word: str) -> list[int]:
+        return self.sp.encode(word) if word else [self._mark]
+
+
+class PieceCounter(_Pieces):
+    """Numbers of pieces by the vocabulary's own tokenizer."""
+
+    def learn(self, word: str) -> int:
+        return len(self.ids_of(word))
+
+    def count(self, text: str) -> int:
+        return sum(self.look_up(text))
+
+
+class PieceEncoder(_Pieces):
+    """Piece ids by the vocabulary's own tokenizer."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.vocab_size())])
+
+    def learn(self, word: str) -> bytes:
+        return array("i", self.ids_of(word)).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.look_up(text)), np.int32)
+
+
+@lru_cache(maxsize=4)
+def shared(kind: type, model: bytes):
+    """One object for each worker process, so that tasks that follow each other keep what was learned."""
+    return kind(model)

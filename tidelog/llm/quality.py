@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import materialize
-from .pieces import PieceEncoder, read_model
+from .pieces import PieceEncoder, read_model, shared
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -93,12 +93,12 @@ def measure(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
     model = model or read_model()
 
     def run(batches):
-        encoder = PieceEncoder(model)
+        encoder = shared(PieceEncoder, model)
         for b in batches:
             rows = []
             for x in b.column(2):
                 text = x.as_py() or ""
-                ids = encoder.encode([text])[0]
+                ids = encoder.encode(text)
                 n = len(ids)
                 if n:
                     counts = np.bincount(ids)
