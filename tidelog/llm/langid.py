@@ -263,6 +263,33 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects; all other columns pass through, whatever their names.
+
+    Rows whose text is null or without a letter go. Without a model nothing is known of any language, and only those go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for s in range(0, b.num_rows, 256):
+                part = [letters(x) if x is not None else np.zeros(1, np.uint32) for x in b.column(at).slice(s, 256).to_pylist()]
+                rows = [i for i, c in enumerate(part) if c.any()]
+                if m is None or not rows:
+                    keep[[s + i for i in rows]] = True
+                    continue
+                e, n = m.entropies([part[i] for i in rows])
+                best = e.argmin(1)
+                for i, j, x, k in zip(rows, best.tolist(), e[np.arange(len(e)), best].tolist(), n.tolist()):
+                    keep[s + i] = m.accepts(m.languages[j], x, k)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_and_identify(docs: DataFrame, **names) -> DataFrame:
     """``identify`` with a model of the rows whose id leaves another remainder than 2 modulo 4 (a null id: not learned)."""
     return identify(docs, train(docs, remainder_of_id(4) != 2, **names))

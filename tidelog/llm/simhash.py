@@ -46,14 +46,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id: long, fp: long, the fingerprint's bits). A null text has fingerprint zero; null ids stay null."""
+    """(id, rid, fp: longs): fp has the fingerprint's bits, rid is the text's hash. A null text has fingerprint zero."""
 
     def run(batches):
         for b in batches:
-            h = np.fromiter((fingerprint(x.as_py(), size) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64))], ["id", "fp"])
+            h = np.fromiter((fingerprint(x.as_py(), size) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h.view(np.int64))], ["id", "rid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    text = text_bytes(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("rid"), text.alias("t")).mapInArrow(run, "id long, rid long, fp long")
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
@@ -160,7 +161,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row per row of ``docs``: id, fp (long), component_id: the smallest id reachable over links.
+    """One row per row of ``docs``: id, rid (hash of the text), fp (long), component_id: the smallest id reachable over links.
 
     Texts whose fingerprints differ in at most ``max_bits`` bits are linked. Null texts and texts without words have
     fingerprint zero and are linked like others. A row with a null id takes part; it is never the smallest unless its
@@ -173,7 +174,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     lowest = materialize(named.groupBy("root").agg(F.min("first").alias("component")), "lowest")
     classes = materialize(named.join(lowest, "root").select("fp", "component"), "classes")
     discard(roots, named, lowest, distinct)
-    return each.join(classes, "fp").select("id", "fp", from_key("component").alias("component_id"))
+    return each.join(classes, "fp").select("id", "rid", "fp", from_key("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
@@ -181,6 +182,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id stay (nothing tells which of them is which). Of rows that repeat the smallest id, all stay.
     """
-    found = near_duplicate_classes(docs, id_col, text_col, size, max_bits)
-    gone = materialize(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    found = near_duplicate_classes(docs, id_col, text_col, size, max_bits).where("id <> component_id")
+    gone = materialize(found.select(F.col("id").alias("__id"), F.col("rid").alias("__rid")).distinct(), "gone")
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_bytes(text_col)) == F.col("__rid"))
+    return docs.join(gone, same, "left_anti")

@@ -213,31 +213,21 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return lists
 
 
-def _cut(length: int):
-    def run(batches):
-        for b in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, at in zip(b.column(1), b.column(2)):
-                words = text.as_py().split()
-                n = len(words)
-                gone = 0
-                if at.is_valid:
-                    at = at.values.to_numpy()
-                    start = at & 0xFFFFFFFF
-                    edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + ((at >> 32) & 0xFFF) - 1 + length, -1)
-                    stays = np.cumsum(edge[:n]) == 0
-                    gone = int(n - stays.sum())
-                    words = [w for w, s in zip(words, stays.tolist()) if s]
-                n_words.append(n)
-                n_removed.append(gone)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"]
-            )
-
-    return run
+def _cut(text: bytes, at: pa.ListScalar, length: int) -> tuple[int, int, bytes]:
+    """(words, words removed, the others joined by one space)."""
+    words = text.split()
+    n = len(words)
+    gone = 0
+    if at.is_valid:
+        at = at.values.to_numpy()
+        start = at & 0xFFFFFFFF
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + ((at >> 32) & 0xFFF) - 1 + length, -1)
+        stays = np.cumsum(edge[:n]) == 0
+        gone = int(n - stays.sum())
+        words = [w for w, s in zip(words, stays.tolist()) if s]
+    return n, gone, b" ".join(words)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -249,4 +239,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lists = repeated_windows(docs, id_col, text_col, length)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), *_keyed(docs, id_col, text_col))
-    return keyed.join(lists, ["dk", "rid"], "left").select("id", "t", "at").mapInArrow(_cut(length), "id long, n_words long, n_removed long, kept_text string")
+
+    def run(batches):
+        for b in batches:
+            rows = [_cut(text.as_py(), at, length) for text, at in zip(b.column(1), b.column(2))]
+            n, gone, kept = zip(*rows) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+
+    return keyed.join(lists, ["dk", "rid"], "left").select("id", "t", "at").mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """``docs`` with texts as ``remove_repeats`` leaves them; a text that loses nothing stays as it is, white space included.
+
+    Rows of whose text nothing is left go. All other columns pass through, whatever their names.
+    """
+    lists = repeated_windows(docs, id_col, text_col, length)
+    lists = lists.select(F.col("dk").alias("__dk"), F.col("rid").alias("__rid"), F.col("at").alias("__at"))
+    dk, rid, _ = _keyed(docs, id_col, text_col)
+    rows = docs.withColumns({"__dk": dk, "__rid": rid}).join(lists, ["__dk", "__rid"], "left").select(*docs.columns, "__at")
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches):
+        for b in batches:
+            kept, stays = [], []
+            for text, found in zip(b.column(at), b.column(b.num_columns - 1)):
+                text = text.as_py()
+                if found.is_valid and text is not None:
+                    text = _cut(text.encode(), found, length)[2].decode()
+                    stays.append(bool(text))
+                else:
+                    stays.append(True)
+                kept.append(text)
+            columns = [b.column(i) if i != at else pa.array(kept, pa.string()) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, docs_names).filter(pa.array(stays))
+
+    docs_names = docs.columns
+    return rows.mapInArrow(run, docs.schema)
