@@ -22,7 +22,7 @@ def big_endian(number: Column, width: int) -> Column:
 def from_big_endian(data: Column) -> Column:
     """A long of up to 8 big-endian bytes; 8 bytes are read as signed."""
     unsigned = F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
-    whole = F.when((F.octet_length(data) == 8) & (unsigned > F.lit(2**63 - 1)), unsigned - F.lit(2**64).cast("decimal(20,0)")).otherwise(unsigned)
+    whole = F.when((F.octet_length(data) == 8) & (unsigned > F.lit(2**63 - 1)), unsigned - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(unsigned)
     return whole.cast("long")
 
 

@@ -24,9 +24,10 @@ def commit(committed: DataFrame, commits: DataFrame, position: str = "commit_pos
     return old.union(new).groupBy(*KEYS).agg(F.max_by("offset", F.struct("__at")).alias("offset"))
 
 
-def as_log_records(commits: DataFrame, partitions: int = 50) -> DataFrame:
-    """Commits as records of the offsets log: key group:topic:partition, value the offset in 8 bytes."""
+def as_log_records(commits: DataFrame, partitions: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Commits as records of the offsets log: key group:topic:partition, value the offset in 8 bytes; and the columns to ``keep``."""
     return commits.select(
+        *keep,
         F.lit("__consumer_offsets").alias("topic"),
         offsets_partition(F.col("group_id"), partitions).alias("partition"),
         F.concat_ws(":", "group_id", "topic", F.col("partition").cast("string")).cast("binary").alias("key"),
