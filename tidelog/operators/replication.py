@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -91,3 +92,56 @@ def append_fetched(local: DataFrame, fetched: DataFrame) -> DataFrame:
     rows = running(fetched, KEYS, ["offset"], {"__n": (F.lit(1), False)}).join(ends, KEYS, "left")
     new = rows.withColumn("offset", F.coalesce("__leo", F.lit(0)) + F.col("__n")).select(*local.columns)
     return local.unionByName(new)
+
+
+class IsrTracker:
+    """Replica progress of one partition, updated report by report: the specification of in-sync sets and high watermarks."""
+
+    def __init__(self, brokers: list[int], leader: int, lag_ms: int, born: int, saved: dict | None = None):
+        self.leader, self.lag_ms = leader, lag_ms
+        saved = saved or {}
+        self.replicas: dict[int, list] = {int(k): list(v) for k, v in saved.get("replicas", {b: [0, born, True] for b in brokers}).items()}  # id -> [leo, caught up at, in sync]
+        self.hw: int = saved.get("hw", 0)
+
+    def save(self) -> dict:
+        return {"replicas": self.replicas, "hw": self.hw}
+
+    def update(self, broker: int, leo: int, leader_leo: int, now: int) -> None:
+        me = self.replicas.setdefault(broker, [0, now, True])
+        me[0] = max(me[0], leo)
+        lead = self.replicas.get(self.leader)
+        if me[0] >= max(leader_leo, lead[0] if lead else 0):
+            me[1] = now
+        for b, r in self.replicas.items():
+            r[2] = b == self.leader or now - r[1] <= self.lag_ms
+        in_sync = [r[0] for r in self.replicas.values() if r[2]]
+        if in_sync:
+            self.hw = max(self.hw, min(in_sync))
+
+    def isr(self) -> list[int]:
+        return sorted(b for b, r in self.replicas.items() if r[2])
+
+
+ISR_HISTORY = "topic string, partition int, seq long, hw long, isr string"
+
+
+def fold_reports(events: DataFrame, brokers: list[int], leader: int, lag_ms: int) -> DataFrame:
+    """hw and isr (ids joined by commas) after each report of ``events`` (keys, seq, broker_id, leo, ts), as ``IsrTracker`` has it.
+
+    The tracker is born with a partition's first report. One partition is one ordered stream through a task.
+    """
+
+    def run(batches):
+        here, tracker = None, None
+        for b in batches:
+            hw, isr = [], []
+            for topic, partition, broker, leo, ts in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
+                if here != (topic, partition):
+                    here, tracker = (topic, partition), IsrTracker(brokers, leader, lag_ms, ts)
+                tracker.update(broker, leo, 0, ts)
+                hw.append(tracker.hw)
+                isr.append(",".join(map(str, tracker.isr())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hw, pa.int64()), pa.array(isr, pa.string())], ["topic", "partition", "seq", "hw", "isr"])
+
+    ordered = events.select(*KEYS, "seq", "broker_id", "leo", "ts").repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    return ordered.mapInArrow(run, ISR_HISTORY)

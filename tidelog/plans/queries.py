@@ -401,9 +401,8 @@ def heartbeat_codes(spark, sf):
     return groups.heartbeat_codes(requests, known, derive.members(spark, sf)).select("id", "error_code")
 
 
-def group_commands(spark: SparkSession, sf: str) -> DataFrame:
+def commands_of(events: DataFrame) -> DataFrame:
     """Events as commands of five groups: each event type is one command."""
-    events = derive.table(spark, sf, "events")
     member = F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string"))
     command = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "join", "purchase", "sync", "view", "heartbeat", "error", "leave", "click", "sweep")]), F.col("event_type"))
     return events.select(
@@ -414,7 +413,7 @@ def group_commands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def group_state_fold(spark, sf):
-    return groups.fold_commands(group_commands(spark, sf))
+    return groups.fold_commands(commands_of(derive.table(spark, sf, "events")))
 
 
 # --- replication

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as _batch
+from . import stream_queries as _stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_batch.QUERIES)
+    return _batch.QUERIES | _stream.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_batch.ORACLE)
+    return _batch.ORACLE | _stream.ORACLE
