@@ -24,6 +24,8 @@ from .common import remainder_of_id
 PER_LANGUAGE = 400
 ORDER = 4
 UNKNOWN = "und"
+#: Least variance of the entropies of whole texts.
+SPREAD = 0.02
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Characters scored at a time.
 _SLICE = 1 << 20
@@ -98,7 +100,7 @@ class LanguageModel:
         self.languages, self.order = sorted(labelled), order
         counts = [_Counts(labelled[x], order) for x in self.languages]
         width = len(counts)
-        letters_seen = max(len(c.grams[0]) for c in counts)
+        letters_seen = len(np.unique(np.concatenate([c.grams[0] for c in counts])))
         self.floor = -np.log(letters_seen + 1.0)
         self.keys, self.logp, self.contexts, self.backoff = [], [], [], []
         # each order's n-grams over all languages, with a place where it occurs for its context and shorter n-gram
@@ -195,13 +197,16 @@ class LanguageModel:
         return -out / n[:, None], n
 
     def calibrate(self, held: dict[str, list[np.ndarray]]) -> None:
-        """Entropy limits: mean + reach * sqrt(spread + noise / characters), beyond all calibration texts."""
+        """Entropy limits: mean + reach * sqrt(spread + noise / characters), beyond all calibration texts.
+
+        The spread is ``SPREAD`` at least: texts with long quotations in another language are texts of their own still.
+        """
         for j, x in enumerate(self.languages):
             texts = held.get(x) or []
             e, n = self.entropies(texts) if texts else (np.zeros((0, len(self.languages))), np.zeros(0))
             e = e[:, j]
             long = e[n >= 200] if (n >= 200).sum() >= 5 else e
-            mean, spread = (float(long.mean()), float(long.var()) + 1e-3) if len(long) else (3.0, 1.0)
+            mean, spread = (float(long.mean()), float(long.var()) + SPREAD) if len(long) else (3.0, 1.0)
             z = (e - mean) / np.sqrt(spread + 6.0 / np.maximum(n, 1))
             self.limits[x] = (mean, spread, 1.5 * max(6.0, float(z.max()) if len(z) else 6.0))
 

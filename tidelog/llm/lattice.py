@@ -4,7 +4,8 @@ The pieces lie in a double-array trie. Words are handled many at a time: all wor
 recursion in lockstep, one NumPy operation for each start and length, so the cost for each character is a small constant.
 
 A vocabulary whose scores are merge ranks (0, -1, -2, ...) instead of log probabilities is read by Zipf's law: the piece of
-rank r gets a probability in proportion to 1 / r. Unusable pieces (control, unknown, scores of -1e8 or less) never match.
+rank r gets a probability in proportion to 1 / r. Unusable pieces (control, unknown, scores of -1e8 or less) never match;
+single characters always do, at the last rank if their score is that low.
 A character that is no piece falls back to the pieces of its UTF-8 bytes, which share the last rank.
 """
 
@@ -115,7 +116,8 @@ class Lattice:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         score = np.array([sp.get_score(i) for i in range(n)], np.float64)
         is_byte = np.array([sp.is_byte(i) for i in range(n)])
-        usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)]) & ~is_byte & (score > -1e8)
+        usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)]) & ~is_byte
+        usable &= (score > -1e8) | (np.array([len(p) for p in pieces]) == 1)
         byte_ids = np.zeros(0, np.int64)
         if is_byte.sum() == 256:
             byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
