@@ -278,3 +278,41 @@ def test_percentiles(spark):
 def test_distinct_replicas(spark):
     df = spark.createDataFrame([([3, 1, 3],), ([],), (None,)], "b array<int>")
     assert [r[0] for r in df.select(catalog.distinct_replicas(F.col("b"), 7)).collect()] == [[3, 1], [7], [7]]
+
+
+def test_checkpoints(spark, tmp_path):
+    path = tmp_path / "hw"
+    path.write_text("t 0 5\nt 1 7\n\nbad line\nt 0 9\n")
+    old = replication.read_checkpoint(spark, str(path))
+    assert rows(old, "partition") == [("t", 0, 9), ("t", 1, 7)]
+    new = spark.createDataFrame([("t", 1, 8)], "topic string, partition int, hw long")
+    assert sorted(r.value for r in replication.update_checkpoint(old, new).collect()) == ["t 0 9", "t 1 8"]
+    brokers = spark.createDataFrame([(1, "h", 9)], "id int, host string, port int")
+    asked = spark.createDataFrame([(1,), (2,)], "leader int")
+    assert rows(replication.broker_addresses(asked, brokers), "leader") == [(1, "h", 9), (2, None, None)]
+
+
+def test_membership(spark):
+    assert rows(groups.membership(members(spark, ["b", "a", "b"]))) == [("g", ["a", "b"])]
+    assert spark.range(1).select(groups.member_id(F.lit("c"), F.lit(255))).first()[0] == "c-00000000000000ff"
+
+
+def test_report(spark):
+    df = spark.createDataFrame([("w", 10 * i, i, 2000, 1024) for i in range(20)], "w string, us long, n int, ms long, b long")
+    r = stats.report(df, ["w"], "us", ["n"], "ms", "b")
+    row = r.first()
+    assert (row.n, row.p50, row["max"], row.msgs_per_s) == (18, 110, 190, 9.0) and '"p50":110' in row.json
+    assert stats.markdown(r, ["w", "n"]) == "| w | n |\n|---|---|\n| w | 18 |"
+
+
+def test_timestamps_and_client_offsets(spark):
+    df = spark.createDataFrame([(0, 0), (5, 1), (-1, 2)], "timestamp long, place long")
+    assert [r.timestamp for r in produce.with_timestamps(df, F.lit(99)).orderBy("place").collect()] == [99, 5, 99]
+    assert [r.offset for r in produce.client_offsets(df, F.lit(7), F.col("place")).orderBy("place").collect()] == [7, 8, 9]
+
+
+def test_lines(spark, tmp_path):
+    from tidelog.sources.lines import line_records
+
+    (tmp_path / "in.txt").write_text("a\n\n  \nb\n")
+    assert sorted(bytes(r.value) for r in line_records(spark, str(tmp_path / "in.txt"), "t").collect()) == [b"a", b"b"]

@@ -81,3 +81,16 @@ def offset_for_timestamp(requests: DataFrame, log: DataFrame, partitions: DataFr
 def messages(records: DataFrame) -> DataFrame:
     """The client's view of records: without attributes."""
     return records.select("topic", "partition", "offset", "timestamp", "key", "value")
+
+
+def poll(assigned: DataFrame, log: DataFrame, partitions: DataFrame, max_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """One poll of a group's member: (records, assigned with the advanced position).
+
+    ``assigned`` (topic, partition, position): a position below 0 reads from 0. Partitions that answer with an error give no
+    records and keep their position; the others move behind the last record they gave.
+    """
+    asked = assigned.select(*KEYS, F.greatest("position", F.lit(0)).cast("long").alias("fetch_offset"), F.lit(max_bytes).alias("max_bytes"))
+    answers, found = fetch(asked, log, partitions)
+    moved = found.groupBy(*KEYS).agg((F.max("offset") + 1).alias("__next"))
+    after = assigned.join(moved, KEYS, "left").select(*assigned.columns, F.coalesce("__next", "position").cast("long").alias("next_position"))
+    return found, after.join(answers.select(*KEYS, "error_code"), KEYS)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -145,3 +145,25 @@ def fold_reports(events: DataFrame, brokers: list[int], leader: int, lag_ms: int
 
     ordered = events.select(*KEYS, "seq", "broker_id", "leo", "ts").repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
     return ordered.mapInArrow(run, ISR_HISTORY)
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, partition, hw) of a checkpoint text: lines ``topic partition hw``; of a partition's lines the last counts.
+
+    Lines of another form are skipped. The text is one small file: a line for each partition of a broker.
+    """
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")))
+    parts = lines.select("pos", F.split(F.trim("col"), r"\s+").alias("p")).where("size(p) = 3 and p[1] rlike '^[0-9]+$' and p[2] rlike '^-?[0-9]+$'")
+    rows = parts.select(F.get("p", F.lit(0)).alias("topic"), F.get("p", F.lit(1)).cast("int").alias("partition"), F.get("p", F.lit(2)).cast("long").alias("hw"), "pos")
+    return rows.groupBy(*KEYS).agg(F.max_by("hw", "pos").alias("hw"))
+
+
+def update_checkpoint(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The checkpoint's rows with those of ``new`` in place of older ones, as lines of its text."""
+    rows = old.join(new.select(*KEYS), KEYS, "left_anti").select(*KEYS, "hw").unionByName(new.select(*KEYS, "hw"))
+    return rows.select(F.concat_ws(" ", "topic", F.col("partition").cast("string"), F.col("hw").cast("string")).alias("value"))
+
+
+def broker_addresses(rows: DataFrame, brokers: DataFrame, broker: str = "leader") -> DataFrame:
+    """``rows`` with host and port of their broker; null for one that is not configured."""
+    return rows.join(brokers.select(F.col("id").alias(broker), "host", "port"), broker, "left").select(*rows.columns, "host", "port")

@@ -35,3 +35,23 @@ def throughput(n: Column, duration_ms: Column, payload_bytes: Column) -> tuple[C
 def split_work(n: int, workers: int) -> list[int]:
     """Samples for each worker: the first n mod workers get one more."""
     return [n // workers + (i < n % workers) for i in range(workers)]
+
+
+def report(samples: DataFrame, keys: list[str], value: str, order: list, duration_ms: str, payload_bytes: str) -> DataFrame:
+    """A benchmark's rows: percentiles after warm-up, rates over the whole duration, and the report as JSON.
+
+    As in the benchmark this follows, the rates divide the measured samples by the whole time, warm-up included.
+    """
+    measured = after_warm_up(samples, keys, order)
+    per_s, mib_s = throughput(F.col("n"), F.col("__ms"), F.col("__bytes"))
+    sums = samples.groupBy(*keys).agg(F.max(duration_ms).alias("__ms"))
+    sizes = measured.groupBy(*keys).agg(F.sum(payload_bytes).alias("__bytes"))
+    rows = percentiles(measured, keys, value, {"p50": 50, "p95": 95, "p99": 99}).join(sums, keys).join(sizes, keys)
+    rows = rows.withColumns({"msgs_per_s": F.round(per_s, 2), "mib_per_s": F.round(mib_s, 2)}).drop("__ms", "__bytes")
+    return rows.withColumn("json", F.to_json(F.struct(*rows.columns)))
+
+
+def markdown(rows: DataFrame, columns: list[str]) -> str:
+    """A Markdown table of a report; a report has a row for each scenario."""
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(str(r[c]) for c in columns) + " |" for r in rows.collect()])

@@ -170,6 +170,20 @@ def offset_for_timestamp(spark, sf):
     return fetch.offset_for_timestamp(wanted, rows.withColumnRenamed("ts_ms", "timestamp"), ends)
 
 
+_ASSIGNED = [("purchase", 0, -1), ("view", 1, 40), ("click", 2, 10_000_000), ("error", 9, 5), ("nosuch", 0, 0), ("signup", 3, 0)]
+
+
+@query(sql(f"""SELECT a.topic, a.{Q}, a.position, CAST(coalesce(max(p.{O}) + 1, a.position) AS BIGINT) AS next_position, CAST(CASE WHEN e.hw IS NULL THEN 4 ELSE 0 END AS INTEGER) AS error_code
+FROM a LEFT JOIN ends e ON e.topic = a.topic AND e.{Q} = a.{Q}
+LEFT JOIN (SELECT l.*, sum(encoded_size) OVER w AS upto, row_number() OVER w AS rn FROM log l JOIN a ON a.topic = l.topic AND a.{Q} = l.{Q} AND l.{O} >= greatest(a.position, 0)
+  WINDOW w AS (PARTITION BY l.topic, l.{Q} ORDER BY l.{O} ROWS UNBOUNDED PRECEDING)) p ON p.topic = a.topic AND p.{Q} = a.{Q} AND p.{O} < e.hw AND (p.rn = 1 OR p.upto <= 3000)
+GROUP BY a.topic, a.{Q}, a.position, e.hw""", "ends", more=f"a(topic, {Q}, position) AS (VALUES {_values(_ASSIGNED)})"))
+def group_poll(spark, sf):
+    rows = derive.log(spark, sf)
+    _, after = fetch.poll(_local(spark, _ASSIGNED, "topic string, partition int, position long"), rows, derive.ends(rows), 3000)
+    return after
+
+
 # --- log geometry
 
 _CONFIG = LogConfig(segment_bytes=8192, index_interval_bytes=1024, segment_ms=0)
