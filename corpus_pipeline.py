@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import langid, packing, secrets, simhash, substring
+from tidelog.llm import langid, packing, secrets, similar, substring
 from tidelog.llm.common import documents, materialize
 
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays, that with the smallest id: 0.8 or more over 5-word shingles."""
+    return similar.drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

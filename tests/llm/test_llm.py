@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidelog.llm import langid, lm, packing, quality, secrets, segmentation, simhash, spotsigs, substring, warc
+from tidelog.llm import langid, lm, packing, quality, secrets, segmentation, similar, simhash, spotsigs, substring, warc
 from tidelog.llm.common import remainder_of_id
 from tidelog.llm.components import components
 from tidelog.llm.lattice import DoubleArray, Lattice, unigram_logp
@@ -208,11 +208,84 @@ def _closure(links):
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = sorted(((r.id, r.component_id) for r in simhash.near_duplicate_classes(odd).collect()), key=repr)
     assert got == _classes(odd_rows())
-    kept = simhash.drop_near_duplicates(odd)
+    assert simhash.near_duplicate_classes(empty).count() == 0
+
+
+# --- near-duplicates by similarity
+
+
+def _similar(rows, threshold=0.8):
+    """Brute-force classes: (id, smallest id of the class)."""
+
+    def shingles(t):
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    ids = collections.defaultdict(list)
+    for g, (i, _) in zip(group, rows):
+        ids[g].append(i)
+    return sorted(((i, min((x for x in ids[g] if x is not None), default=None)) for g, (i, _) in zip(group, rows)), key=repr)
+
+
+def test_similar_texts(spark):
+    r, rows = random.Random(8), []
+    for k in range(25):
+        base = words(r.randrange(60, 300), 700 + k, 10**6)
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, 4):  # copies with some words exchanged: similarities from 0.5 to 1
+            copy = base[:]
+            for _ in range(r.randrange(0, max(2, len(base) // 25))):
+                copy[r.randrange(len(copy))] = f"n{r.randrange(10**9)}"
+            rows.append((10 * k + c, " ".join(copy)))
+    rows += [(1000, "spam " * 200 + "one two three four five six"), (1001, "spam " * 200 + "six five four three two one"), (1002, "A b C"), (1003, "a B c")]
+    got = sorted(((x.id, x.component_id) for x in similar.similar_classes(table(spark, rows)).collect()), key=repr)
+    assert got == _similar(rows)
+    kept = {x.doc_id for x in similar.drop_near_duplicates(table(spark, rows)).collect()}
+    assert kept == {c for _, c in got} and 20 < len(kept) < len(rows)
+
+
+def test_views_part_large_groups():
+    """Sketches that agree in a view are still split, and each still finds a close one."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**64, similar.WORDS, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (6000, similar.WORDS, 2)).astype(np.uint64), axis=2)
+    s = base ^ flips
+    s[:, 0] = base[0]  # the whole view is the same
+    tree = similar.ViewTree(s, len(s), 0, 24, shard=500)
+    assert tree.n_leaves > 8
+    parts = tree.route(s)
+    assert set(np.concatenate([rows for _, rows in parts]).tolist()) == set(range(len(s)))
+    assert max(len(rows) for _, rows in parts) < 3000
+    found = set()
+    for _, rows in parts:
+        i, j = similar.closest(similar.view(s[rows], 0, 24), s[rows][:, :4], rows)
+        found |= set(rows[i].tolist())
+    assert len(found) == len(s)
+
+
+def test_view_bits():
+    s = np.arange(16, dtype=np.uint64).reshape(2, 8) * np.uint64(0x0123456789ABCDEF)
+    whole = [sum(int(w) << (64 * k) for k, w in enumerate(row)) for row in s]
+    for bits in (16, 24, 31):
+        for at in range(512 // bits):
+            assert similar.view(s, at, bits).tolist() == [w >> (at * bits) & ((1 << bits) - 1) for w in whole]
+
+
+def test_similar_odd_rows(spark, odd, empty):
+    got = sorted(((r.id, r.component_id) for r in similar.similar_classes(odd).collect()), key=repr)
+    assert got == _similar(odd_rows())
+    kept = similar.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     # 2, 5 and one null text go with 1; 4's first text goes with 3, its second stays; rows without id stay
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 3, 4, 6, 7, 8, 9)] + [(True, 0), (True, 0)]
-    assert simhash.near_duplicate_classes(empty).count() == 0
+    assert similar.similar_classes(empty).count() == 0 and similar.drop_near_duplicates(empty).count() == 0
 
 
 # --- secrets

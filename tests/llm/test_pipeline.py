@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from test_llm import SCHEMA, _base, _classes, _languages, _removed
+from test_llm import SCHEMA, _base, _languages, _removed, _similar
 
 
 def test_stages(spark, tmp_path):
@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
     assert {r[0] for r in rows} - {r.doc_id for r in known.collect()} == {3001, 3002, 3003}
 
     one = run("near_dedup", known)
-    want = {c for _, c in _classes([(r.doc_id, r.text) for r in known.collect()])}
+    want = {c for _, c in _similar([(r.doc_id, r.text) for r in known.collect()])}
     assert {r.doc_id for r in one.collect()} == want and not want & set(range(2000, 2010))
 
     cut = run("substring_dedup", one)

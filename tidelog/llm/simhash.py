@@ -175,14 +175,3 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes = materialize(named.join(lowest, "root").select("fp", "component"), "classes")
     discard(roots, named, lowest, distinct)
     return each.join(classes, "fp").select("id", "rid", "fp", from_key("component").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest id.
-
-    Rows with a null id stay (nothing tells which of them is which). Of rows that repeat the smallest id, all stay.
-    """
-    found = near_duplicate_classes(docs, id_col, text_col, size, max_bits).where("id <> component_id")
-    gone = materialize(found.select(F.col("id").alias("__id"), F.col("rid").alias("__rid")).distinct(), "gone")
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_bytes(text_col)) == F.col("__rid"))
-    return docs.join(gone, same, "left_anti")
