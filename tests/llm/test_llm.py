@@ -258,9 +258,10 @@ def test_views_part_large_groups():
     flips = np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (6000, similar.WORDS, 2)).astype(np.uint64), axis=2)
     s = base ^ flips
     s[:, 0] = base[0]  # the whole view is the same
-    tree = similar.ViewTree(s, len(s), 0, 24, shard=500)
+    ids = np.arange(len(s), dtype=np.uint64)
+    tree = similar.ViewTree(s, ids, len(s), 0, 24, shard=500)
     assert tree.n_leaves > 8
-    parts = tree.route(s)
+    parts = tree.route(s, ids)
     assert set(np.concatenate([rows for _, rows in parts]).tolist()) == set(range(len(s)))
     assert max(len(rows) for _, rows in parts) < 3000
     found = set()
@@ -268,6 +269,8 @@ def test_views_part_large_groups():
         i, j = similar.closest(similar.view(s[rows], 0, 24), s[rows][:, :4], rows)
         found |= set(rows[i].tolist())
     assert len(found) == len(s)
+    same = similar.ViewTree(np.repeat(s[:1], 6000, 0), ids, len(s), 3, 24, shard=500)
+    assert max(len(rows) for _, rows in same.route(np.repeat(s[:1], 6000, 0), ids)) < 1500
 
 
 def test_view_bits():

@@ -91,12 +91,17 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class ViewTree:
     """A vantage-point tree over one view. Where a part's views are all but equal (a large group of copies), it is split by
-    distance over the whole sketch, with a border of two bits, so that no group has to fit one task."""
+    distance over the whole sketch, with a border of two bits or, failing that, none; where even those are equal, by a hash of
+    the node that differs from view to view. So no group has to fit one task, and members that one view parts meet in others."""
 
-    def __init__(self, sample: np.ndarray, total: int, at: int, bits: int, shard: int = SHARD):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, total: int, at: int, bits: int, shard: int = SHARD):
         self.at, self.bits, self.nodes, self.n_leaves = at, bits, [], 0
         self._scale, self._shard, self._rng = total / max(1, len(sample)), shard, np.random.default_rng(11 + at)
-        self._grow(sample, view(sample, at, bits), 0)
+        self._grow(sample, view(sample, at, bits), ids, 0)
+
+    def _coin(self, ids: np.ndarray, depth: int) -> np.ndarray:
+        h = (ids ^ np.uint64(977 * self.at + depth)) * _ODD[1]
+        return (h ^ (h >> np.uint64(33))) * _ODD[2] >> np.uint64(63) == 0
 
     def _cut(self, d: np.ndarray, border: int, top: int):
         """(cost, radius) of the best cut of distances; None if no cut makes both parts smaller."""
@@ -108,12 +113,12 @@ class ViewTree:
         best = int(cost.argmin())
         return (cost[best], best) if np.isfinite(cost[best]) else None
 
-    def _grow(self, s: np.ndarray, x: np.ndarray, depth: int) -> int:
+    def _grow(self, s: np.ndarray, x: np.ndarray, ids: np.ndarray, depth: int) -> int:
         me = len(self.nodes)
         self.nodes.append(None)
         if len(s) * self._scale > self._shard and len(s) >= 32 and depth < 64:
             picks = self._rng.choice(len(s), min(8, len(s)), replace=False)
-            for whole, border, top in ((False, RADIUS, self.bits), (True, 2, 64 * WORDS)):
+            for whole, border, top in ((False, RADIUS, self.bits), (True, 2, 64 * WORDS), (True, 0, 64 * WORDS)):
                 best = None
                 for p in picks:
                     d = _apart(s, s[p]) if whole else np.bitwise_count(x ^ x[p]).astype(np.int64)
@@ -123,13 +128,17 @@ class ViewTree:
                 if best:
                     _, mu, p, d = best
                     inner, outer = d <= mu, d > mu - border
-                    self.nodes[me] = (whole, border, s[p] if whole else x[p], mu, self._grow(s[inner], x[inner], depth + 1), self._grow(s[outer], x[outer], depth + 1))
+                    self.nodes[me] = (whole, border, s[p] if whole else x[p], mu, self._grow(s[inner], x[inner], ids[inner], depth + 1), self._grow(s[outer], x[outer], ids[outer], depth + 1))
                     return me
+            if len(s) * self._scale > 2 * self._shard:
+                inner = self._coin(ids, depth)
+                self.nodes[me] = (None, depth, None, 0, self._grow(s[inner], x[inner], ids[inner], depth + 1), self._grow(s[~inner], x[~inner], ids[~inner], depth + 1))
+                return me
         self.nodes[me] = self.n_leaves
         self.n_leaves += 1
         return me
 
-    def route(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def route(self, s: np.ndarray, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(shard, rows of ``s``) pairs."""
         x, out, todo = view(s, self.at, self.bits), [], [(0, np.arange(len(s)))]
         while todo:
@@ -141,6 +150,10 @@ class ViewTree:
                 out.append((node, rows))
                 continue
             whole, border, v, mu, inner, outer = node
+            if whole is None:
+                heads = self._coin(ids[rows], border)
+                todo += [(inner, rows[heads]), (outer, rows[~heads])]
+                continue
             d = _apart(s[rows], v) if whole else np.bitwise_count(x[rows] ^ v)
             todo += [(inner, rows[d <= mu]), (outer, rows[d.astype(np.int64) > mu - border])]
         return out
@@ -180,10 +193,11 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     total = nodes.count()
     bits, views = view_plan(total)
     share = min(1.0, 0.9 * SAMPLE / max(1, total))
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("node").limit(SAMPLE).toPandas()[_SKETCH].to_numpy(np.int64).view(np.uint64)
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("node").limit(SAMPLE).toPandas()
+    ids, sample = sample["node"].to_numpy(np.int64).view(np.uint64), np.ascontiguousarray(sample[_SKETCH].to_numpy(np.int64)).view(np.uint64)
     trees, first = [], [0]
     for k in range(views):
-        trees.append(ViewTree(np.ascontiguousarray(sample), total, k, bits))
+        trees.append(ViewTree(sample, ids, total, k, bits))
         first.append(first[-1] + trees[-1].n_leaves)
     shared = nodes.sparkSession.sparkContext.broadcast((trees, first))
     names = ["shard", "x", "node", "first", *_SKETCH[:4]]
@@ -192,9 +206,10 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         trees, first = shared.value
         for b in batches:
             s = np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], 1)
+            ids = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, tree in enumerate(trees):
                 x = view(s, k, bits).view(np.int64)
-                parts = tree.route(s)
+                parts = tree.route(s, ids)
                 rows = np.concatenate([r for _, r in parts]) if parts else np.empty(0, np.int64)
                 shard = np.concatenate([np.full(len(r), first[k] + leaf, np.int32) for leaf, r in parts]) if parts else np.empty(0, np.int32)
                 picked = pa.array(rows)
