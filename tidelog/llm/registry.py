@@ -73,5 +73,42 @@ FROM r
 """
 
 
+def _op3_sql() -> str:
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    patterns = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.ENDPOINT, secrets.WEAK_ID, secrets.WEAK_SECRET)
+    raw = " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, regexp_extract_all(t, {q(p)}) AS m, regexp_split_to_array(t, {q(p)}) AS g FROM d" for i, p in enumerate(patterns))
+    near = lambda kinds, scope: f"EXISTS (SELECT 1 FROM {{0}} p WHERE p.doc_id = c.doc_id AND p.kind IN ({kinds}) AND p.e > c.s - {scope} AND p.s < c.e + {scope})"
+    identifier, secret = near("1, 4", secrets.SCOPE).format("parts"), near("0, 2, 5", secrets.SCOPE).format("parts")
+    names = "[" + ", ".join(q(k) for k in secrets.KINDS) + "]"
+    listed = f"coalesce(string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) {{}}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), raw AS ({raw}),
+cut AS (SELECT doc_id, kind, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM raw WHERE len(m) > 0),
+loc AS (SELECT doc_id, kind, m, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM cut),
+sp AS (SELECT doc_id, kind, e - length(m) AS s, e FROM loc WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, {q(secrets.ASSIGN)}, 2)) >= 6
+  WHEN 5 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') ELSE true END),
+parts AS (SELECT * FROM sp WHERE kind < 3 UNION ALL SELECT * FROM sp c WHERE kind >= 3 AND NOT {near("0, 1, 2", 0).format("sp")}),
+kept AS (SELECT * FROM parts c WHERE CASE kind WHEN 3 THEN {identifier} AND {secret} WHEN 4 THEN {secret} WHEN 5 THEN {identifier} ELSE true END)
+SELECT d.doc_id, {counts}, sha256({listed.format("FILTER (kind < 3)")}) AS base_sha256, {listed.format("FILTER (kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+#: Windows as joined words.
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+starts AS (SELECT doc_id, l, unnest(range(1, greatest(1, len(l) - 48))) AS p FROM d WHERE len(l) >= 50),
+windows AS (SELECT doc_id, p, array_to_string(l[p:p + 49], ' ') AS s FROM starts),
+repeats AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, p + k AS i FROM repeats, range(50) t(k)),
+words AS (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM d),
+marked AS (SELECT words.*, gone.i IS NOT NULL AS removed FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i)
+SELECT d.doc_id, count(m.i) AS n_words, count(*) FILTER (m.removed) AS n_removed,
+  sha256(coalesce(string_agg(m.w, ' ' ORDER BY m.i) FILTER (NOT m.removed), '')) AS kept_sha256
+FROM d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": _OP8_SQL}
+    return {"op3_secret_scan": _op3_sql(), "op6_substring_dedup": _OP6_SQL, "op8_warc": _OP8_SQL}
