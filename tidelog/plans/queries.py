@@ -131,7 +131,7 @@ def fetch_high_watermark(spark, sf):
 _REQUESTS = [("purchase", 0, 10, 2000), ("purchase", 9, 0, 2000), ("view", 1, 0, 1), ("view", 2, 10_000_000, 2000), ("click", 3, 5, 0), ("nosuch", 0, 0, 2000), ("error", 2, -1, 2000), ("signup", 1, 20, 1_000_000)]
 
 
-@query(sql(f"""SELECT r.topic, r.{Q}, r.fetch_offset, CAST(CASE WHEN e.hw IS NULL THEN 4 WHEN r.fetch_offset < e.hw AND r.fetch_offset < e.log_start THEN 2 ELSE 0 END AS INTEGER) AS error_code,
+@query(sql(f"""SELECT r.topic, r.{Q}, CAST(r.fetch_offset AS BIGINT) AS fetch_offset, CAST(CASE WHEN e.hw IS NULL THEN 4 WHEN r.fetch_offset < e.hw AND r.fetch_offset < e.log_start THEN 2 ELSE 0 END AS INTEGER) AS error_code,
   count(p.{O}) AS n_records, CAST(coalesce(sum(p.encoded_size), 0) AS BIGINT) AS n_bytes, max(p.{O}) AS last_offset
 FROM r LEFT JOIN ends e ON e.topic = r.topic AND e.{Q} = r.{Q}
 LEFT JOIN (SELECT l.*, r.fetch_offset, r.max_bytes, sum(encoded_size) OVER w AS upto, row_number() OVER w AS rn FROM log l JOIN r ON r.topic = l.topic AND r.{Q} = l.{Q} AND l.{O} >= r.fetch_offset
@@ -149,7 +149,7 @@ def fetch_multi_partition(spark, sf):
 _TARGETS = [("events", p, t) for p in range(4) for t in (0, 17, 400, 2000, 10_000_000)]
 
 
-@query(sql(f"SELECT t.topic, t.{Q}, t.target, l.key, l.value, l.key IS NOT NULL AS found FROM t LEFT JOIN log1 l ON l.{Q} = t.{Q} AND l.{O} = t.target", "log1", more=f"t(topic, {Q}, target) AS (VALUES {_values(_TARGETS)})"))
+@query(sql(f"SELECT t.topic, t.{Q}, CAST(t.target AS BIGINT) AS target, l.key, l.value, l.key IS NOT NULL AS found FROM t LEFT JOIN log1 l ON l.{Q} = t.{Q} AND l.{O} = t.target", "log1", more=f"t(topic, {Q}, target) AS (VALUES {_values(_TARGETS)})"))
 def point_read(spark, sf):
     return fetch.point_read(_local(spark, _TARGETS, "topic string, partition int, target long"), derive.log1(spark, sf), ["key", "value"])
 
@@ -157,7 +157,7 @@ def point_read(spark, sf):
 _LIST = [(t, p, ts) for t in ("purchase", "view", "nosuch") for p in (0, 3, 7) for ts in (-1, -2, 0)]
 
 
-@query(sql(f"SELECT r.topic, r.{Q}, r.ts AS timestamp, CAST(CASE WHEN e.leo IS NULL THEN -1 WHEN r.ts = -2 THEN e.log_start ELSE e.leo END AS BIGINT) AS {O}, CAST(CASE WHEN e.leo IS NULL THEN 4 ELSE 0 END AS INTEGER) AS error_code FROM r LEFT JOIN ends e ON e.topic = r.topic AND e.{Q} = r.{Q}", "ends", more=f"r(topic, {Q}, ts) AS (VALUES {_values(_LIST)})"))
+@query(sql(f"SELECT r.topic, r.{Q}, CAST(r.ts AS BIGINT) AS timestamp, CAST(CASE WHEN e.leo IS NULL THEN -1 WHEN r.ts = -2 THEN e.log_start ELSE e.leo END AS BIGINT) AS {O}, CAST(CASE WHEN e.leo IS NULL THEN 4 ELSE 0 END AS INTEGER) AS error_code FROM r LEFT JOIN ends e ON e.topic = r.topic AND e.{Q} = r.{Q}", "ends", more=f"r(topic, {Q}, ts) AS (VALUES {_values(_LIST)})"))
 def list_offsets(spark, sf):
     return fetch.list_offsets(_local(spark, _LIST, "topic string, partition int, timestamp long"), derive.ends(derive.log(spark, sf)))
 
@@ -173,7 +173,7 @@ def offset_for_timestamp(spark, sf):
 _ASSIGNED = [("purchase", 0, -1), ("view", 1, 40), ("click", 2, 10_000_000), ("error", 9, 5), ("nosuch", 0, 0), ("signup", 3, 0)]
 
 
-@query(sql(f"""SELECT a.topic, a.{Q}, a.position, CAST(coalesce(max(p.{O}) + 1, a.position) AS BIGINT) AS next_position, CAST(CASE WHEN e.hw IS NULL THEN 4 ELSE 0 END AS INTEGER) AS error_code
+@query(sql(f"""SELECT a.topic, a.{Q}, CAST(a.position AS BIGINT) AS position, CAST(coalesce(max(p.{O}) + 1, a.position) AS BIGINT) AS next_position, CAST(CASE WHEN e.hw IS NULL THEN 4 ELSE 0 END AS INTEGER) AS error_code
 FROM a LEFT JOIN ends e ON e.topic = a.topic AND e.{Q} = a.{Q}
 LEFT JOIN (SELECT l.*, sum(encoded_size) OVER w AS upto, row_number() OVER w AS rn FROM log l JOIN a ON a.topic = l.topic AND a.{Q} = l.{Q} AND l.{O} >= greatest(a.position, 0)
   WINDOW w AS (PARTITION BY l.topic, l.{Q} ORDER BY l.{O} ROWS UNBOUNDED PRECEDING)) p ON p.topic = a.topic AND p.{Q} = a.{Q} AND p.{O} < e.hw AND (p.rn = 1 OR p.upto <= 3000)
