@@ -266,13 +266,28 @@ def test_views_part_large_groups():
     assert max(len(rows) for _, rows in parts) < 3000
     found = set()
     for _, rows in parts:
-        i, j = similar.closest(similar.view(s[rows], 0, 24), s[rows][:, :4], rows)
+        i, j = similar.closest(similar.view(s[rows], 0, 24), s[rows][:, 7], rows, 24)
         found |= set(rows[i].tolist())
     assert len(found) == len(s)
     same = similar.ViewTree(np.repeat(s[:1], 6000, 0), ids, len(s), 3, 24, shard=500)
     assert max(len(rows) for _, rows in same.route(np.repeat(s[:1], 6000, 0), ids)) < 1500
 
 
+def test_closest_equals_brute_force():
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.integers(0, 1 << 10, 300), np.full(150, 77)]).astype(np.uint64)
+    y = np.concatenate([r.integers(0, 1 << 14, 300), r.integers(0, 1 << 9, 150)]).astype(np.uint64)
+    rank = r.permutation(450)
+    i, j = similar.closest(x, y, rank, 16)
+    got = collections.defaultdict(set)
+    for a, b in zip(i.tolist(), j.tolist()):
+        got[a].add(bin(int(y[a] ^ y[b])).count("1"))
+    for a in range(450):
+        near = [(bin(int(y[a] ^ y[b])).count("1"), rank[b] < rank[a]) for b in range(450) if b != a and bin(int(x[a] ^ x[b])).count("1") <= 1]
+        near = [z for z in near if z[0] <= 16]
+        assert got[a] == ({min(near)[0]} if near else set()) | ({min(d for d, s in near if s)} if any(s for _, s in near) else set())
+
+
 def test_view_bits():
     s = np.arange(16, dtype=np.uint64).reshape(2, 8) * np.uint64(0x0123456789ABCDEF)
     whole = [sum(int(w) << (64 * k) for k, w in enumerate(row)) for row in s]

@@ -5,7 +5,7 @@ bits over 3-word shingles). Copies with a coefficient of 0.8 over 5-word shingle
 others in half. The sketch is read as several short views; in each view a vantage-point tree deals the sketches to shards, with
 copies over the borders as the triangle inequality bounds them, so that all sketches within ``RADIUS`` bits of a view
 meet. The number of views follows from the number of texts such that a pair at the threshold is missed with a probability of
-``MISS`` at most. In a shard each sketch gives a link to the closest sketch, and to the closest of a smaller id: two rows for
+``MISS`` at most. In a shard each sketch gives a link to the closest sketch, and to the closest of a smaller hash: two rows for
 each view, however dense the shard is. Links are then checked by the exact coefficient of the 5-word shingles.
 """
 
@@ -21,12 +21,16 @@ from xxhash import xxh64_intdigest
 
 from .common import discard, from_key, id_key, materialize, text_bytes
 from .components import components
-from .simhash import SAMPLE, SHARD
+from .simhash import SAMPLE
 
-WORDS, FLIPS, RADIUS, MISS = 8, 0.094, 1, 0.01
-#: Differing bits of the first 256 that a link may have before it is checked: four deviations over the expected ones.
-_NEAR = 44
+WORDS, FLIPS, RADIUS, MISS = 8, 0.094, 1, 0.002
+#: Differing bits of another word of the sketch that a link may have before it is checked: four deviations over the expected ones.
+_NEAR = 16
+#: Sketches that a shard of a view should hold.
+SHARD = 65_536
 _CHUNK = 16_384
+#: Bits of the bitmap that texts are looked up in before they are shuffled, as a power of two: half a megabyte.
+MARKS = 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 
 
@@ -59,9 +63,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for b in batches:
-            words = [x.as_py().lower().split() for x in b.column(2)]
-            s = np.array([sketch(_shingles(w, 3)) for w in words], np.uint64).reshape(-1, WORDS)
-            node = np.fromiter((xxh64_intdigest(b" ".join(w), 7) for w in words), np.uint64, len(words))
+            s, node = np.zeros((b.num_rows, WORDS), np.uint64), np.zeros(b.num_rows, np.uint64)
+            for i, x in enumerate(b.column(2)):
+                words = x.as_py().lower().split()
+                s[i], node[i] = sketch(_shingles(words, 3)), xxh64_intdigest(b" ".join(words), 7)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), *(pa.array(np.ascontiguousarray(s[:, k]).view(np.int64)) for k in range(WORDS))], ["id", "rid", "node", *_SKETCH])
 
     text = text_bytes(text_col)
@@ -85,6 +90,12 @@ def view(s: np.ndarray, at: int, bits: int) -> np.ndarray:
     return out & np.uint64((1 << bits) - 1)
 
 
+def other_word(at: int, bits: int) -> int:
+    """A word of the sketch that view ``at`` does not read; it changes from view to view, so that each judges closeness anew."""
+    used = {at * bits // 64, ((at + 1) * bits - 1) // 64}
+    return next(w % WORDS for w in range(3 * at + 1, 3 * at + 1 + WORDS) if w % WORDS not in used)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
@@ -159,37 +170,64 @@ class ViewTree:
         return out
 
 
-def closest(x: np.ndarray, s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j): for each row the closest other one within ``RADIUS`` bits of the view, and the closest of a smaller rank.
+def closest(x: np.ndarray, y: np.ndarray, rank: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j): for each row the closest other one (by ``y``) within one bit of its view ``x``, and the closest of a smaller rank.
 
-    Rows stand in rings by distance to one vantage; only neighbouring rings are compared, block by block.
+    Rows are sorted by view; for each bit, a row's partners are the run of the view with that bit flipped. Short runs are
+    paired at once, long ones compared block by block, so memory stays bounded and all partners count.
     """
-    left, right = [], []
-    ring = np.bitwise_count(x ^ x[0]).astype(np.int64) if len(x) else np.empty(0, np.int64)
-    rings = [np.flatnonzero(ring == r) for r in range(65)]
-    for r in range(65):
-        others = np.concatenate([rings[k] for k in range(max(0, r - RADIUS), min(64, r + RADIUS) + 1)])
-        step = max(1, (1 << 20) // max(1, len(others)))
-        for at in range(0, len(rings[r]), step):
-            rows = rings[r][at : at + step]
-            i, j = np.nonzero(np.bitwise_count(x[rows][:, None] ^ x[others][None, :]) <= RADIUS)
-            i, j = rows[i], others[j]
-            keep = i != j
-            i, j = i[keep], j[keep]
-            d = _apart(s[i], s[j])
-            keep = d <= _NEAR
-            i, j, d = i[keep], j[keep], d[keep]
-            for part in (np.arange(len(i)), np.flatnonzero(rank[j] < rank[i])):
-                if len(part):
-                    begins = np.flatnonzero(np.concatenate([[True], i[part][1:] != i[part][:-1]]))
-                    low = np.minimum.reduceat(d[part] * len(x) + j[part], begins) % len(x)
-                    left.append(i[part][begins])
-                    right.append(low)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    y, rank = y[order], rank[order]
+    runs, start, count = np.unique(x[order], return_index=True, return_counts=True)
+    low = np.full((2, n), np.iinfo(np.int64).max)  # distance * n + partner: of any partner, of one of a smaller rank
+
+    def pairs(i, j):
+        d = np.bitwise_count(y[i] ^ y[j]).astype(np.int64)
+        keep = (i != j) & (d <= _NEAR)
+        i, j, d = i[keep], j[keep], d[keep]
+        np.minimum.at(low[0], i, d * n + j)
+        keep = rank[j] < rank[i]
+        np.minimum.at(low[1], i[keep], (d * n + j)[keep])
+
+    def block(i, j):
+        step = max(1, (1 << 21) // len(j))
+        for at in range(0, len(i), step):
+            r = i[at : at + step]
+            d = np.bitwise_count(y[r][:, None] ^ y[j][None, :])
+            d[r[:, None] == j[None, :]] = 255
+            for k in range(2):
+                if k:
+                    d = np.where(rank[j][None, :] < rank[r][:, None], d, 255)
+                best = d.argmin(1)
+                least = d[np.arange(len(r)), best].astype(np.int64)
+                low[k, r] = np.where(least <= _NEAR, np.minimum(low[k, r], least * n + j[best]), low[k, r])
+
+    for flip in (0, *(1 << b for b in range(bits))):
+        want = runs ^ np.uint64(flip)
+        at = np.minimum(np.searchsorted(runs, want), len(runs) - 1)
+        mine = np.flatnonzero((runs[at] == want) & ((count > 1) | (flip > 0)))
+        other = at[mine]
+        size = count[mine] * count[other]
+        short = size <= 4096
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[short]) >> 21)) + 1
+        for p, q in zip(np.split(mine[short], cuts), np.split(other[short], cuts)):
+            if len(p):
+                m = count[p] * count[q]
+                first = np.repeat(np.cumsum(m) - m, m)
+                k = np.arange(m.sum()) - first
+                width = np.repeat(count[q], m)
+                pairs(np.repeat(start[p], m) + k // width, np.repeat(start[q], m) + k % width)
+        for p, q in zip(mine[~short].tolist(), other[~short].tolist()):
+            block(np.arange(start[p], start[p] + count[p]), np.arange(start[q], start[q] + count[q]))
+    left = [np.flatnonzero(k < np.iinfo(np.int64).max) for k in low]
+    i = np.concatenate(left)
+    j = np.concatenate([low[k, r] % n for k, r in enumerate(left)])
+    return order[i], order[j]
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, first, s0 ... s7) to links (u, v) of nodes that may be alike; distinct, u < v."""
+    """``nodes`` (node, s0 ... s7) to links (u, v) of nodes that may be alike; distinct, u < v."""
     total = nodes.count()
     bits, views = view_plan(total)
     share = min(1.0, 0.9 * SAMPLE / max(1, total))
@@ -200,12 +238,12 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         trees.append(ViewTree(sample, ids, total, k, bits))
         first.append(first[-1] + trees[-1].n_leaves)
     shared = nodes.sparkSession.sparkContext.broadcast((trees, first))
-    names = ["shard", "x", "node", "first", *_SKETCH[:4]]
+    names = ["shard", "x", "node", "y"]
 
     def route(batches):
         trees, first = shared.value
         for b in batches:
-            s = np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], 1)
+            s = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], 1)
             ids = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, tree in enumerate(trees):
                 x = view(s, k, bits).view(np.int64)
@@ -213,16 +251,14 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
                 rows = np.concatenate([r for _, r in parts]) if parts else np.empty(0, np.int64)
                 shard = np.concatenate([np.full(len(r), first[k] + leaf, np.int32) for leaf, r in parts]) if parts else np.empty(0, np.int32)
                 picked = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(x[rows]), *(b.column(c).take(picked) for c in range(6))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(x[rows]), b.column(0).take(picked), b.column(1 + other_word(k, bits)).take(picked)], names)
 
     def search(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).to_numpy()
-        node = get("node")
-        rank = np.argsort(np.argsort(get("first"), kind="stable"), kind="stable")
-        i, j = closest(get("x").view(np.uint64), np.stack([get(c) for c in _SKETCH[:4]], 1).view(np.uint64), rank)
+        x, node, y = (table.column(c).to_numpy() for c in ("x", "node", "y"))
+        i, j = closest(x.view(np.uint64), y.view(np.uint64), node, bits)
         return pa.table({"u": pa.array(np.minimum(node[i], node[j]), pa.int64()), "v": pa.array(np.maximum(node[i], node[j]), pa.int64())})
 
-    routed = nodes.select("node", "first", *_SKETCH).mapInArrow(route, "shard int, " + ", ".join(f"{n} long" for n in names[1:]))
+    routed = nodes.select("node", *_SKETCH).mapInArrow(route, "shard int, " + ", ".join(f"{n} long" for n in names[1:]))
     return routed.groupBy("shard").applyInArrow(search, "u long, v long").distinct()
 
 
@@ -236,11 +272,44 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "h"])
 
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+
+    def likely(batches):
+        for b in batches:
+            yield b.filter(pa.array(_marked(marks.value, b.column(1).to_numpy())))
+
     text = text_bytes(text_col)
-    rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text).alias("rid"), text.alias("t"))
+    rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text).alias("rid"), text.alias("t")).mapInArrow(likely, "key long, rid long, t binary")
     return rows.join(wanted, ["key", "rid"]).dropDuplicates(["node"]).select("node", "t").mapInArrow(run, "node long, h array<long>")
 
 
+def _slot(rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = (rid.view(np.uint64) * _ODD[3]) >> np.uint64(64 - MARKS)
+    return (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
+
+
+def _marked(marks: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    at, bit = _slot(rid)
+    return (marks[at] & bit) != 0
+
+
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the wanted texts' hashes. It only spares texts a shuffle: what it lets through is joined exactly."""
+
+    def mark(batches):
+        bits = np.zeros(1 << (MARKS - 6), np.uint64)
+        for b in batches:
+            at, bit = _slot(b.column(0).to_numpy())
+            np.bitwise_or.at(bits, at, bit)
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["at", "bits"])
+
+    rows = wanted.select("rid").mapInArrow(mark, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (MARKS - 6), np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links whose nodes' shingle sets have a Jaccard coefficient of ``threshold`` or more."""
     pairs = links.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
