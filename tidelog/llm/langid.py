@@ -28,7 +28,7 @@ UNKNOWN = "und"
 SPREAD = 0.02
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Characters scored at a time.
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 @cache

@@ -14,7 +14,7 @@ import numpy as np
 
 MARK = "▁"
 #: Words that an encoder remembers before it starts anew.
-CACHE = 800_000
+CACHE = 500_000
 DEFAULT_FILE = "piece_bpe_32k.model"
 
 
