@@ -251,6 +251,46 @@ def test_similar_texts(spark):
     assert kept == {c for _, c in got} and 20 < len(kept) < len(rows)
 
 
+def test_similar_pairs_in_a_template_family(spark):
+    """Members share most of a template, at 0.7 or so with each other; some have a true partner of about 0.8 to 0.85."""
+    r, template = random.Random(21), words(200, 5, 10**6)
+    fresh = lambda n: [f"n{r.randrange(10**12)}" for _ in range(n)]
+    rows = [(i, " ".join(template[:100] + fresh(40) + template[100:])) for i in range(400)]
+    for k in range(40):  # the partner has another block, appended words, or words exchanged here and there
+        w = rows[5 * k][1].split()
+        if k % 3 == 0:
+            w[20:39] = fresh(19)
+        elif k % 3 == 1:
+            w += fresh(45)
+        else:
+            for at in r.sample(range(len(w) // 5), 5):
+                w[5 * at + 2] = fresh(1)[0]
+        rows.append((10_000 + k, " ".join(w)))
+    want = _similar(rows)
+    assert 30 < len(rows) - len({c for _, c in want}) < 60  # pairs, not one class
+    got = similar.similar_classes(table(spark, rows)).collect()
+    assert sorted(((x.id, x.component_id) for x in got), key=repr) == want
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_missing_links_are_all_pairs(spark, monkeypatch, block):
+    """Without any help of the views, whatever the order of the shingles, and where lists are dealt to blocks."""
+    monkeypatch.setattr(similar, "LIST", block)
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**63, (6, 60)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 6][r.random(60) < 0.95], r.integers(0, 2**63, int(r.integers(0, 9))).astype(np.uint64)])) for k in range(240)]
+    root = [k if k % 4 else k % 6 for k in range(240)]
+    common = np.sort(base.ravel())
+    for order in ((common, r.integers(2, 100, len(common))), (common, np.full(len(common), 9)), (common[:0], np.empty(0, np.int64))):
+        if block < 4096 and not len(order[0]):
+            continue
+        rows = [(k, root[k], len(h), similar.rare_first(h, order, 0.8).view(np.int64).tolist()) for k, h in enumerate(sets)]
+        found = {tuple(x) for x in similar.missing_links(spark.createDataFrame(rows, "node long, root long, n int, p array<long>"), order, 0.8).collect()}
+        jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        want = {(i, j) for j in range(240) for i in range(j) if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8}
+        assert want <= found and len(want) > 1000 and all(root[i] != root[j] and i < j for i, j in found)
+
+
 def test_views_part_large_groups():
     """Sketches that agree in a view are still split, and each still finds a close one."""
     r = np.random.default_rng(1)

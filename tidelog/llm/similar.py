@@ -4,9 +4,12 @@ A 64-bit fingerprint with two differing bits finds only the closest copies. Here
 bits over 3-word shingles). Copies with a coefficient of 0.8 over 5-word shingles differ in about ``FLIPS`` of the bits,
 others in half. The sketch is read as several short views; in each view a vantage-point tree deals the sketches to shards, with
 copies over the borders as the triangle inequality bounds them, so that all sketches within ``RADIUS`` bits of a view
-meet. The number of views follows from the number of texts such that a pair at the threshold is missed with a probability of
-``MISS`` at most. In a shard each sketch gives a link to the closest sketch, and to the closest of a smaller hash: two rows for
+meet. In a shard each sketch gives a link to the closest sketch, and to the closest of a smaller hash: two rows for
 each view, however dense the shard is. Links are then checked by the exact coefficient of the 5-word shingles.
+
+The views only join most of what is alike at a low price; they decide nothing. ``missing_links`` then finds every pair that they
+left in different classes: each text's shingles are put in one order, rare ones first, and two texts at the threshold share one
+among the first ``n - ceil(threshold * n) + 1`` of each, where enough shingles follow on both sides. So the classes are exact.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ _NEAR = 16
 #: Sketches that a shard of a view should hold.
 SHARD = 65_536
 _CHUNK = 16_384
+#: Texts that the order of shingles is fitted on, and shingles whose counts are kept. Any order gives the same classes.
+_ORDER, COMMON = 8_192, 1 << 20
+#: Postings of a shingle that are compared in one piece; longer lists are dealt out as pairs of blocks. Postings of a task.
+LIST, POSTINGS = 4_096, 400_000
 #: Bits of the bitmap that texts are looked up in before they are shuffled, as a power of two: half a megabyte.
 MARKS = 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -58,20 +65,61 @@ def sketch(h: np.ndarray) -> np.ndarray:
 _SKETCH = [f"s{k}" for k in range(WORDS)]
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid: hash of the text, node: hash of its words, s0 ... s7) for each row; without words the sketch is zero."""
+def shingle_order(docs: DataFrame, text_col: str = "text", size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that most texts of a bounded sample share, by hash: ``rare_first`` puts these last."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingles(x.as_py().lower().split(), size)).view(np.int64))], ["h"])
+
+    text = text_bytes(text_col)
+    rows = docs.select(F.xxhash64(text).alias("rid"), text.alias("t"))
+    share = min(1.0, _ORDER / max(1, docs.count()))
+    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).dropDuplicates(["rid"]).select("t")
+    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rare_first(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """The rarest of the distinct shingles ``h``: so many that two texts at the threshold have one in common among theirs."""
+    common, counts = order
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+    return h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]
+
+
+def parities(h: np.ndarray) -> bytes:
+    """For each of 512 cells, whether an odd number of the shingles falls into it: two sets differ in as many shingles as cells, or more."""
+    return np.packbits((np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """(id, rid: hash of the text, node: hash of its words, n: its distinct shingles, p: the rarest of them, m: ``parities``,
+    s0 ... s7) for each row; without words the sketch is zero and there are no shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         for b in batches:
-            s, node = np.zeros((b.num_rows, WORDS), np.uint64), np.zeros(b.num_rows, np.uint64)
+            s, node, n, first = np.zeros((b.num_rows, WORDS), np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32), []
+            m = []
             for i, x in enumerate(b.column(2)):
                 words = x.as_py().lower().split()
                 s[i], node[i] = sketch(_shingles(words, 3)), xxh64_intdigest(b" ".join(words), 7)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), *(pa.array(np.ascontiguousarray(s[:, k]).view(np.int64)) for k in range(WORDS))], ["id", "rid", "node", *_SKETCH])
+                h = np.unique(_shingles(words, size))
+                n[i] = len(h)
+                m.append(parities(h))
+                first.append(rare_first(h, shared.value, threshold).view(np.int64))
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            p = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), p, pa.array(m, pa.binary()), *(pa.array(np.ascontiguousarray(s[:, k]).view(np.int64)) for k in range(WORDS))], ["id", "rid", "node", "n", "p", "m", *_SKETCH])
 
     text = text_bytes(text_col)
     columns = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("rid"), text.alias("t")]
-    return docs.select(*columns).mapInArrow(run, "id long, rid long, node long, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return docs.select(*columns).mapInArrow(run, "id long, rid long, node long, n int, p array<long>, m binary, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def view_plan(total: int) -> tuple[int, int]:
@@ -262,6 +310,101 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return routed.groupBy("shard").applyInArrow(search, "u long, v long").distinct()
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD[4]
+    return h ^ (h >> np.uint64(29))
+
+
+def _from_to(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``count[i]`` rows of each i: i, and the row's number among them."""
+    i = np.repeat(np.arange(len(count)), count)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def prefix_pairs(g: np.ndarray, node: np.ndarray, root: np.ndarray, pos: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (u, v), u < v, of nodes of different roots in one group ``g`` that can have the coefficient ``threshold``.
+
+    The first shingle that two texts share leaves them at most as many in common as follow it in either, itself included;
+    pairs for which that is too few at this shingle are not alike, or share an earlier one.
+    """
+    order = np.lexsort((root, g))
+    g, node, root, pos, n = g[order], node[order], root[order], pos[order], n[order]
+    least = threshold / (1 + threshold)
+    found = [np.empty((2, 0), np.int64)]
+
+    def pairs(i, j):
+        keep = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least * (n[i] + n[j]) - 1e-6
+        u, v = node[i[keep]], node[j[keep]]
+        found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1))
+
+    # each row meets those of its group with larger roots
+    last = np.searchsorted(g, g, "right")
+    new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (root[1:] != root[:-1])])) if len(g) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(new, len(g)))
+    same = np.repeat(new + sizes, sizes)
+    row = np.flatnonzero(same < last)
+    after = (last - same)[row]
+    for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(after) >> 20)) + 1):
+        i, step = _from_to(after[part])
+        pairs(row[part][i], same[row[part]][i] + step)
+    u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+    return u, v
+
+
+def missing_links(rooted: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """``rooted`` (node, root, n, p) to links (u, v), distinct, u < v: among them are all pairs of different roots at the threshold.
+
+    A shingle of many texts is left out where all have one root; otherwise its texts are dealt to blocks, and each pair of
+    blocks is a group of its own, so that no list has to fit one task.
+    """
+    context = rooted.sparkSession.sparkContext
+    common = context.broadcast(order[0])
+
+    def shared(batches):
+        for b in batches:
+            p, (row, _) = b.column(1).flatten(), _from_to(b.column(1).value_lengths().to_numpy().astype(np.int64))
+            t = p.to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(common.value, t), max(0, len(common.value) - 1))
+            keep = np.flatnonzero(common.value[at] == t) if len(common.value) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([p.take(pa.array(keep)), b.column(0).take(pa.array(row[keep]))], ["t", "root"])
+
+    lists = rooted.select("root", "p").mapInArrow(shared, "t long, root long").groupBy("t").agg(F.count("*").alias("n"), (F.min("root") == F.max("root")).alias("one"))
+    long = lists.where(F.col("n") > LIST).toPandas()
+    t = long["t"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(t)
+    blocks = np.where(long["one"].to_numpy(bool), 0, -(-long["n"].to_numpy(np.int64) // LIST))
+    dealt = context.broadcast((t[by], blocks[by]))
+    total = rooted.agg(F.sum(F.size("p"))).first()[0] or 0
+    tasks = max(1, -(-total // POSTINGS))
+
+    def deal(batches):
+        t, blocks = dealt.value
+        for b in batches:
+            node, root, n = (b.column(c).to_numpy().astype(np.int64) for c in range(3))
+            row, pos = _from_to(b.column(3).value_lengths().to_numpy().astype(np.int64))
+            token = b.column(3).flatten().to_numpy().view(np.uint64)
+            k = np.ones(len(token), np.int64)
+            if len(t):
+                at = np.minimum(np.searchsorted(t, token), len(t) - 1)
+                k = np.where(t[at] == token, blocks[at], 1)
+            for part in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(k) >> 20)) + 1):
+                i, other = _from_to(k[part])
+                i = part[i]
+                mine = (_mix(node[row[i]].view(np.uint64)) % k[i].astype(np.uint64)).astype(np.int64)
+                pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).view(np.uint64)
+                g = np.where(k[i] > 1, _mix(token[i] ^ _mix(pair + np.uint64(1))), token[i])
+                columns = [(g % np.uint64(tasks)).astype(np.int32), g.view(np.int64), node[row[i]], root[row[i]], pos[i] << 32 | n[row[i]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["task", "g", "node", "root", "at"])
+
+    def search(table: pa.Table) -> pa.Table:
+        g, node, root, at = (table.column(c).to_numpy() for c in ("g", "node", "root", "at"))
+        u, v = prefix_pairs(g, node, root, at >> 32, at & 0xFFFFFFFF, threshold)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    rows = rooted.select("node", "root", "n", "p").mapInArrow(deal, "task int, g long, node long, root long, at long")
+    return rows.groupBy("task").applyInArrow(search, "u long, v long").distinct()
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, h: distinct hashes of the text's shingles) for ``wanted`` (node, key, rid)."""
 
@@ -310,6 +453,20 @@ def _marks(wanted: DataFrame) -> np.ndarray:
     return out
 
 
+def possible_links(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The links whose texts' parities (``nodes``: node, n, m) leave the coefficient ``threshold`` possible: spares the others' sets a shuffle."""
+    ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}")) for c in "uv"]
+    most = (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, 8) for c in (4, 5))
+            yield b.select(["u", "v"]).filter(pa.array(_apart(x, y) <= most * n + 1e-6))
+
+    return links.join(ends[0], "u").join(ends[1], "v").select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(run, "u long, v long")
+
+
 def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links whose nodes' shingle sets have a Jaccard coefficient of ``threshold`` or more."""
     pairs = links.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
@@ -333,21 +490,36 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words are alike. Rows with null ids take part; they are never the
     smallest unless their class has no other. Repeated rows stay repeated; an empty table gives an empty result.
     """
-    each = materialize(sketches(docs, id_col, text_col), "sketches")
-    grouped = each.groupBy("node", *_SKETCH).agg(F.min(F.struct(id_key("id").alias("key"), "rid")).alias("low"))
-    nodes = materialize(grouped.select("node", F.col("low.key").alias("first"), F.col("low.rid").alias("rid"), *_SKETCH), "nodes")
-    links = materialize(candidate_links(nodes), "candidates")
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    wanted = materialize(ends.join(nodes, "node").select("node", F.col("first").alias("key"), "rid"), "wanted")
-    sets = materialize(_shingle_sets(docs, wanted, id_col, text_col, size), "shingles")
-    alike = materialize(check_links(links, sets, threshold), "alike")
-    discard(links, wanted, sets)
+    order = shingle_order(docs, text_col, size)
+    each = materialize(sketches(docs, order, id_col, text_col, threshold, size), "sketches")
+    grouped = each.groupBy("node", *_SKETCH).agg(F.min(F.struct(id_key("id").alias("key"), "rid", "n", "p", "m")).alias("low"))
+    nodes = materialize(grouped.select("node", F.col("low.key").alias("first"), F.col("low.rid").alias("rid"), F.col("low.n").alias("n"), F.col("low.p").alias("p"), F.col("low.m").alias("m"), *_SKETCH), "nodes")
+    slim = materialize(each.select("id", "rid", "node"), "rows")
+    discard(each)
+
+    def checked(found: DataFrame) -> DataFrame:
+        links = materialize(possible_links(found, nodes, threshold), "possible")
+        discard(found)
+        ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+        wanted = materialize(ends.join(nodes, "node").select("node", F.col("first").alias("key"), "rid"), "wanted")
+        sets = materialize(_shingle_sets(docs, wanted, id_col, text_col, size), "shingles")
+        alike = materialize(check_links(links, sets, threshold), "alike")
+        discard(links, wanted, sets)
+        return alike
+
+    alike = checked(materialize(candidate_links(nodes), "candidates"))
     roots = materialize(components(alike), "roots")
+    rooted = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "p"), "rooted")
+    discard(roots)
+    missing = materialize(missing_links(rooted, order, threshold), "missing")
+    discard(rooted)
+    more = checked(missing)
+    roots = materialize(components(alike.union(more)), "roots")
     rooted = materialize(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "lowest")
     classes = materialize(rooted.join(lowest, "root").select("node", "component"), "classes")
-    discard(alike, roots, rooted, lowest, nodes)
-    return each.join(classes, "node").select("id", "rid", from_key("component").alias("component_id"))
+    discard(alike, more, roots, rooted, lowest, nodes)
+    return slim.join(classes, "node").select("id", "rid", from_key("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
