@@ -33,9 +33,11 @@ _NEAR = 16
 SHARD = 65_536
 _CHUNK = 16_384
 #: Texts that the order of shingles is fitted on, and shingles whose counts are kept. Any order gives the same classes.
-_ORDER, COMMON = 8_192, 1 << 20
+_ORDER, COMMON = 8_192, 1 << 19
 #: Postings of a shingle that are compared in one piece; longer lists are dealt out as pairs of blocks. Postings of a task.
 LIST, POSTINGS = 4_096, 400_000
+#: Rows and pairs that a worker holds at a time.
+_ROWS, _PAIRS = 1_024, 1 << 17
 #: Bits of the bitmap that texts are looked up in before they are shuffled, as a power of two: half a megabyte.
 MARKS = 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -321,6 +323,10 @@ def _from_to(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _slices(batches):
+    return (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
+
+
 def prefix_pairs(g: np.ndarray, node: np.ndarray, root: np.ndarray, pos: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (u, v), u < v, of nodes of different roots in one group ``g`` that can have the coefficient ``threshold``.
 
@@ -344,7 +350,7 @@ def prefix_pairs(g: np.ndarray, node: np.ndarray, root: np.ndarray, pos: np.ndar
     same = np.repeat(new + sizes, sizes)
     row = np.flatnonzero(same < last)
     after = (last - same)[row]
-    for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(after) >> 20)) + 1):
+    for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(after) // _PAIRS)) + 1):
         i, step = _from_to(after[part])
         pairs(row[part][i], same[row[part]][i] + step)
     u, v = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -361,7 +367,7 @@ def missing_links(rooted: DataFrame, order: tuple[np.ndarray, np.ndarray], thres
     common = context.broadcast(order[0])
 
     def shared(batches):
-        for b in batches:
+        for b in _slices(batches):
             p, (row, _) = b.column(1).flatten(), _from_to(b.column(1).value_lengths().to_numpy().astype(np.int64))
             t = p.to_numpy().view(np.uint64)
             at = np.minimum(np.searchsorted(common.value, t), max(0, len(common.value) - 1))
@@ -379,7 +385,7 @@ def missing_links(rooted: DataFrame, order: tuple[np.ndarray, np.ndarray], thres
 
     def deal(batches):
         t, blocks = dealt.value
-        for b in batches:
+        for b in _slices(batches):
             node, root, n = (b.column(c).to_numpy().astype(np.int64) for c in range(3))
             row, pos = _from_to(b.column(3).value_lengths().to_numpy().astype(np.int64))
             token = b.column(3).flatten().to_numpy().view(np.uint64)
@@ -387,7 +393,7 @@ def missing_links(rooted: DataFrame, order: tuple[np.ndarray, np.ndarray], thres
             if len(t):
                 at = np.minimum(np.searchsorted(t, token), len(t) - 1)
                 k = np.where(t[at] == token, blocks[at], 1)
-            for part in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(k) >> 20)) + 1):
+            for part in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(k) // _PAIRS)) + 1):
                 i, other = _from_to(k[part])
                 i = part[i]
                 mine = (_mix(node[row[i]].view(np.uint64)) % k[i].astype(np.uint64)).astype(np.int64)
@@ -472,7 +478,7 @@ def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     pairs = links.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
