@@ -125,7 +125,8 @@ def sketches(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], id_col: str
 
 
 def view_plan(total: int) -> tuple[int, int]:
-    """(bits of a view, views) for so many sketches."""
+    """(bits of a view, views) for so many sketches. What the views miss, as they do more often where an edit changes more bits
+    than ``FLIPS`` says or where the sketch has no bits for more views, is left to ``missing_links``."""
     bits = max(16, math.ceil(math.log2(max(2, total))) + 6)
     hit = sum(math.comb(bits, k) * FLIPS**k * (1 - FLIPS) ** (bits - k) for k in range(RADIUS + 1))
     return bits, max(1, min(64 * WORDS // bits, math.ceil(math.log(MISS) / math.log(1 - hit))))
