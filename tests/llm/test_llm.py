@@ -251,12 +251,14 @@ def test_similar_texts(spark):
     assert kept == {c for _, c in got} and 20 < len(kept) < len(rows)
 
 
-@pytest.mark.parametrize("views", [None, 1])
-def test_similar_pairs_in_a_template_family(spark, monkeypatch, views):
+@pytest.mark.parametrize("views, shard", [(None, None), (1, None), (None, 64)])
+def test_similar_pairs_in_a_template_family(spark, monkeypatch, views, shard):
     """Members share most of a template, at 0.7 or so with each other; some have a true partner of about 0.8 to 0.85.
-    None is missed, also with fewer views than the plan asks for."""
+    None is missed, also with fewer views than the plan asks for, or where dense parts are cut without borders that cover the pairs."""
     if views:
         monkeypatch.setattr(similar, "view_plan", lambda total: (16, views))
+    if shard:
+        monkeypatch.setattr(similar.ViewTree.__init__, "__defaults__", (shard,))
     r, template = random.Random(21), words(200, 5, 10**6)
     fresh = lambda n: [f"n{r.randrange(10**12)}" for _ in range(n)]
     rows = [(i, " ".join(template[:100] + fresh(40) + template[100:])) for i in range(400)]

@@ -154,7 +154,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class ViewTree:
     """A vantage-point tree over one view. Where a part's views are all but equal (a large group of copies), it is split by
     distance over the whole sketch, with a border of two bits or, failing that, none; where even those are equal, by a hash of
-    the node that differs from view to view. So no group has to fit one task, and members that one view parts meet in others."""
+    the node that differs from view to view. So no group has to fit one task. Pairs that this parts in all views are found by ``missing_links``."""
 
     def __init__(self, sample: np.ndarray, ids: np.ndarray, total: int, at: int, bits: int, shard: int = SHARD):
         self.at, self.bits, self.nodes, self.n_leaves = at, bits, [], 0
