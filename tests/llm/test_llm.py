@@ -658,6 +658,32 @@ def test_substrings_of_odd_rows(spark, odd, empty):
         substring.repeated_windows(empty, length=1)
 
 
+def test_substrings_of_rows_without_ids(spark):
+    """Many rows of one id, or of none, are told apart by their texts; what they share among themselves stays."""
+    for key in (None, 7):
+        rows = [(key, text(20 + i % 100, 10_000 + i)) for i in range(3000)]
+        rows += [(1, text(130, 10_050)), (key, rows[60][1] + " " + text(70, 10_099)), (9, rows[90][1]), (None, rows[95][1])]
+        _check(spark, rows)
+    rows = [(None, text(60, i)) for i in range(4000)] + [(3, text(60, 5))]
+    _check(spark, rows)
+
+
+def test_substring_levels():
+    assert substring.levels(50) == [13, 25, 50] and substring.levels(2) == [2] and substring.levels(200) == [13, 25, 50, 100, 200]
+    assert all(b <= 2 * a for n in range(2, 300) for a, b in zip(substring.levels(n), substring.levels(n)[1:]))
+
+
+@pytest.mark.parametrize("piece", [100, 1 << 18])
+def test_substrings_where_runs_vary(spark, monkeypatch, piece):
+    """Shared passages with other surroundings go through all levels."""
+    monkeypatch.setattr(substring, "_PIECE", piece)
+    r = random.Random(8)
+    base = words(400, 77)
+    rows = [(i, " ".join(words(r.randrange(30), 500 + i) + base[(a := r.randrange(350)) : a + r.randrange(20, 200)] + words(r.randrange(30), 800 + i))) for i in range(80)]
+    _check(spark, rows)
+    _check(spark, [(i, " ".join(r.choice("ab") for _ in range(90))) for i in range(10)], 5)
+
+
 # --- LM scores
 
 

@@ -1,21 +1,24 @@
 """Exact substring de-duplication by level-wise doubling.
 
-A window of ``length`` words can only repeat if the windows of half that length in it do. So the halves go first, and
-only what repeats there is extended to twice the length:
+A window of ``length`` words can only repeat if the windows of half that length in it do. So the levels are ``length`` halved
+until it is ``FIRST`` words or fewer (13, 25 and 50 words for the default), and only what repeats at one level is extended to the next:
 
-1.  Halves. Of the half-length windows inside each full window, the one with the smallest hash stands for it (the
-    leftmost, if tied). Equal windows choose alike, so nothing is lost, and one word in about ``length / 4`` is sent
-    instead of each. Neighbouring full windows that share this half form a run, which carries a hash of all its words.
-    Halves that occur in one document alone end here, with their runs.
+1.  A level. Of the windows of the level's length inside each full window, the one with the smallest hash stands for it
+    (the leftmost, if tied). Equal full windows choose alike, so nothing is lost, and few are sent. Neighbouring full windows that
+    share it form a run, which carries a hash of all its words. What occurs in one document alone ends here, with its runs.
 2.  Runs that survive: if an equal run starts in a smaller document, all its windows are repeats. If all runs of a
-    half are equal, that settles them. The others are extended: each full window of theirs is hashed and compared.
-3.  No candidates are left; each document gets its repeated windows, and the words they cover are removed.
+    window are equal, that settles them. The others are extended to twice the length, by the same rule: at the last level each
+    full window is a run of its own.
+3.  When no candidates are left, each document gets its repeated windows, and the words they cover are removed.
 
-Every aggregate combines before its shuffle, and every join back is between plain tables, so Spark can split hot keys.
+Every aggregate combines before its shuffle, and every join back is between plain tables, so Spark can split hot keys. Rows are
+told apart by their id and a 64-bit hash of their text: rows with both equal have the same windows, and the same result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,11 +27,14 @@ from xxhash import xxh3_64_intdigest
 
 from .common import discard, id_key, materialize, text_bytes
 
+#: Words of a window at the first level, at most.
+FIRST = 16
 #: Words hashed at a time; longer documents go in overlapping pieces.
 _PIECE = 1 << 18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(int(_C), -1, 1 << 64))
-_RUN = "anchor long, span long, dk long, at long"
+_COLUMNS = ["anchor", "span", "dk", "rid", "at"]
+_RUN = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,20 +90,32 @@ def _span_hash(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return _mix((prefix[start + size] - prefix[start]) * down[start] + size.astype(np.uint64) * _A)
 
 
-def runs(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor, span) of each run in the word hashes ``h`` of several texts that end at ``ends``."""
-    half = (length + 1) // 2
+def levels(length: int) -> list[int]:
+    """Window lengths from the first level to ``length``; each is at most twice the one before."""
+    out = [length]
+    while out[0] > FIRST:
+        out.insert(0, (out[0] + 1) // 2)
+    if len(out) == 1 and length > 2:
+        out.insert(0, (length + 1) // 2)
+    return out
+
+
+def runs(h: np.ndarray, ends: np.ndarray, length: int, level: int | None = None) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor, span) of each run in the word hashes ``h`` of several texts that end at ``ends``; the level is half the length by default."""
+    level = level or (length + 1) // 2
     empty = np.empty(0, np.int64)
     if len(h) < length:
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    halves = _windows(h, half)
+    parts = _windows(h, level)
     low = np.uint64((1 << 24) - 1)
-    least = _smallest((halves & ~low) | np.arange(len(halves), dtype=np.uint64), length - half + 1) & low
+    least = _smallest((parts & ~low) | np.arange(len(parts), dtype=np.uint64), length - level + 1) & low
     n = len(h) - length + 1
-    fits = np.zeros(n, bool)
     begins = np.concatenate([[0], ends[:-1]])
-    for s, e in zip(begins.tolist(), ends.tolist()):
-        fits[s : max(s, e - length + 1)] = True
+    edge = np.zeros(len(h) + 1, np.int64)
+    holds = ends - begins >= length
+    np.add.at(edge, begins[holds], 1)
+    np.add.at(edge, ends[holds] - length + 1, -1)
+    fits = np.cumsum(edge[:n]) > 0
     least = least[:n]
     fresh = fits.copy()
     fresh[1:] &= ~fits[:-1] | (least[1:] != least[:-1])
@@ -105,7 +123,7 @@ def runs(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]
     if not len(start):
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     windows = np.add.reduceat(fits, start, dtype=np.int64)
-    return start, windows, halves[least[start].astype(np.int64)], _span_hash(h, start, windows + length - 1)
+    return start, windows, parts[least[start].astype(np.int64)], _span_hash(h, start, windows + length - 1)
 
 
 def _pieces(keys, texts, length: int):
@@ -129,88 +147,93 @@ def _pieces(keys, texts, length: int):
         yield np.concatenate(hs), np.cumsum([len(x) for x in hs]), np.array(owner), np.array(offset)
 
 
-def _pack(rid: np.ndarray, windows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return (rid.astype(np.int64) << 44) | (windows.astype(np.int64) << 32) | start.astype(np.int64)
+def _pack(windows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (windows.astype(np.int64) << 32) | start.astype(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """dk orders documents; with rid, 20 bits of the text's hash, it tells rows apart that share an id, or have none."""
+    """dk orders documents; with rid, the text's hash, it tells rows apart that share an id, or have none."""
     text = text_bytes(text_col)
-    return [id_key(id_col).alias("dk"), F.xxhash64(text).bitwiseAND(0xFFFFF).alias("rid"), text.alias("t")]
+    return [id_key(id_col).alias("dk"), F.xxhash64(text).alias("rid"), text.alias("t")]
 
 
-def _rows(anchor, span, dk, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).view(np.int64)) for x in (anchor, span, dk, at)], ["anchor", "span", "dk", "at"])
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).view(np.int64)) for x in columns], _COLUMNS)
 
 
-def _find_runs(length: int):
+def _find_runs(length: int, level: int):
+    """The runs of whole texts at the first level."""
+
     def run(batches):
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             for h, ends, owner, offset in _pieces(keys, (x.as_py() for x in b.column(2)), length):
-                start, windows, anchor, span = runs(h, ends, length)
+                start, windows, anchor, span = runs(h, ends, length, level)
                 k = np.searchsorted(ends, start, side="right")
                 begin = np.concatenate([[0], ends[:-1]])
-                yield _rows(anchor, span, owner[k, 0], _pack(owner[k, 1], windows, start - begin[k] + offset[k]))
+                yield _rows(anchor, span, owner[k, 0], owner[k, 1], _pack(windows, start - begin[k] + offset[k]))
 
     return run
 
 
-def _extend(length: int):
-    """The single windows of the listed runs."""
+def _extend(length: int, level: int):
+    """The runs at ``level`` inside the listed runs of the level before."""
 
     def run(batches):
         for b in batches:
             for dk, rid, text, found in zip(*(b.column(i) for i in range(4))):
                 words = text.as_py().split()
                 h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-                found = found.values
-                at = found.field("at").to_numpy()
-                windows = (at >> 32) & 0xFFF
-                start = np.repeat(at & 0xFFFFFFFF, windows)
-                first = np.repeat(np.cumsum(windows) - windows, windows)
-                start = start + (np.arange(len(start)) - first)
-                one = np.ones(len(start), np.int64)
-                yield _rows(np.repeat(found.field("anchor").to_numpy(), windows), _span_hash(h, start, one * length), one * dk.as_py(), _pack(one * rid.as_py(), one, start))
+                at = found.values.to_numpy()
+                first, size = at & 0xFFFFFFFF, (at >> 32) + length - 1
+                for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(size) // _PIECE)) + 1):
+                    ends = np.cumsum(size[some])
+                    begin = ends - size[some]
+                    place = np.arange(ends[-1]) - np.repeat(begin - first[some], size[some])
+                    start, windows, anchor, span = runs(h[place], ends, length, level)
+                    one = np.ones(len(start), np.int64)
+                    yield _rows(anchor, span, one * dk.as_py(), one * rid.as_py(), _pack(windows, place[start]))
 
     return run
 
 
-def _rid() -> Column:
-    return F.shiftrightunsigned("at", 44).alias("rid")
-
-
-def _earlier(rows: DataFrame, tag: str) -> DataFrame:
-    """``rows`` with ``first``, the smallest dk that has the same (anchor, span), where that differs from another's."""
-    firsts = materialize(rows.groupBy("anchor", "span").agg(F.min("dk").alias("first"), F.max("dk").alias("last")).where("first <> last").drop("last"), tag)
-    return rows.join(firsts, ["anchor", "span"], "left")
+def _survivors(found: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """``found``, a level's runs, to (repeats, open runs): tables of dk, rid and at, which are written and to be discarded."""
+    shared = materialize(
+        found.groupBy("anchor").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.min("span").alias("s"), F.max("span").alias("z"))
+        .where("lo <> hi").select("anchor", F.expr("s <> z").alias("varied")), f"anchors{tag}",
+    )
+    live = materialize(found.join(shared, "anchor"), f"live{tag}")
+    firsts = materialize(live.groupBy("anchor", "span").agg(F.min("dk").alias("first"), F.max("dk").alias("last")).where("first <> last").drop("last"), f"firsts{tag}")
+    repeat = F.coalesce(F.expr("first < dk"), F.lit(False)).alias("repeat")
+    judged = materialize(live.join(firsts, ["anchor", "span"], "left").select("dk", "rid", "at", repeat, "varied").where("repeat or varied"), f"judged{tag}")
+    discard(found, shared, live, firsts)
+    return judged.where("repeat").select("dk", "rid", "at"), judged.where("varied and not repeat").select("dk", "rid", "at")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(dk, rid, at: list): for each text with repeats, its runs of windows that also start in a smaller document.
 
-    ``at`` packs the first word (32 bits) and the number of windows (12 bits above).
+    ``at`` packs the first word (32 bits) and the number of windows (above).
     """
     if not 2 <= length <= 4096:
         raise ValueError("length must be from 2 to 4096 words")
     keyed = docs.select(*_keyed(docs, id_col, text_col))
-    found = materialize(keyed.mapInArrow(_find_runs(length), _RUN), "runs")
-    shared = materialize(
-        found.groupBy("anchor").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.min("span").alias("s"), F.max("span").alias("z"))
-        .where("lo <> hi").select("anchor", F.expr("s <> z").alias("varied")), "anchors",
-    )
-    live = materialize(found.join(shared, "anchor"), "live")
-    discard(found, shared)
-    judged = materialize(
-        _earlier(live, "spans").select("dk", "anchor", "at", F.coalesce(F.expr("first < dk"), F.lit(False)).alias("repeat"), "varied").where("repeat or varied"), "judged"
-    )
-    discard(live)
-    open_runs = judged.where("varied and not repeat").groupBy("dk", _rid()).agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
-    single = materialize(keyed.join(open_runs, ["dk", "rid"]).select("dk", "rid", "t", "found").mapInArrow(_extend(length), _RUN), "windows")
-    repeats = judged.where("repeat").select("dk", "at").union(_earlier(single, "firsts").where("first < dk").select("dk", "at"))
-    lists = materialize(repeats.groupBy("dk", _rid()).agg(F.collect_list("at").alias("at")), "repeats")
-    discard(judged, single)
-    return lists
+    repeats, steps = [], levels(length)
+    found = materialize(keyed.mapInArrow(_find_runs(length, steps[0]), _RUN), "runs")
+    for level, following in zip(steps, [*steps[1:], None]):
+        settled, open_runs = _survivors(found, str(level))
+        repeats.append(settled)
+        if following is None or open_runs.isEmpty():
+            break
+        lists = open_runs.groupBy("dk", "rid").agg(F.collect_set("at").alias("at"))
+        # rows that repeat id and text have the same runs: one of them is enough
+        texts = keyed.join(lists, ["dk", "rid"]).select("dk", "rid", "t", "at")
+        found = materialize(texts.mapInArrow(_extend(length, following), _RUN), f"runs{following}")
+    lists = reduce(DataFrame.union, repeats).groupBy("dk", "rid").agg(F.collect_set("at").alias("at"))
+    out = materialize(lists, "repeats")
+    discard(*repeats)
+    return out
 
 
 def _cut(text: bytes, at: pa.ListScalar, length: int) -> tuple[int, int, bytes]:
@@ -223,7 +246,7 @@ def _cut(text: bytes, at: pa.ListScalar, length: int) -> tuple[int, int, bytes]:
         start = at & 0xFFFFFFFF
         edge = np.zeros(n + 1, np.int32)
         np.add.at(edge, start, 1)
-        np.add.at(edge, start + ((at >> 32) & 0xFFF) - 1 + length, -1)
+        np.add.at(edge, start + (at >> 32) - 1 + length, -1)
         stays = np.cumsum(edge[:n]) == 0
         gone = int(n - stays.sum())
         words = [w for w, s in zip(words, stays.tolist()) if s]
