@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidelog.llm import langid, lm, packing, quality, secrets, segmentation, similar, simhash, spotsigs, substring, warc
-from tidelog.llm.common import remainder_of_id
+from tidelog.llm.common import hash_below, hash_sample, remainder_of_id
 from tidelog.llm.components import components
 from tidelog.llm.lattice import DoubleArray, Lattice, unigram_logp
 from tidelog.llm.pieces import MARK, PieceCounter, PieceEncoder, read_model
@@ -347,11 +347,64 @@ def test_similar_odd_rows(spark, odd, empty):
     assert got == _similar(odd_rows())
     kept = similar.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
-    # 2, 5 and one null text go with 1; 4's first text goes with 3, its second stays; rows without id stay
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 3, 4, 6, 7, 8, 9)] + [(True, 0), (True, 0)]
+    # one row of each class: 2, 5 and the null text without id go with 1; 4's first text, the other without id and the repeated row with 3
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 6, 7, 8, 9)]
     assert similar.similar_classes(empty).count() == 0 and similar.drop_near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Without ids, and with repeated rows: the smallest id, then the smallest hash of the text, then any of equal rows."""
+    a, b, c = text(100, 1), text(100, 2), text(100, 3)
+    near = a.split()
+    near[3] = "other"
+    rows = [(None, a)] * 5 + [(None, " ".join(near))] * 3 + [(7, b)] * 4 + [(7, b.upper()), (8, b)] + [(9, c), (9, text(90, 4))]
+    kept = similar.drop_near_duplicates(table(spark, rows)).collect()
+    assert collections.Counter(r.doc_id for r in kept) == {None: 1, 7: 1, 9: 2}
+    assert {r.text for r in kept if r.doc_id == 9} == {c, text(90, 4)}
+
+
+# --- samples and shards at any size
+
+
+def test_samples_keep_their_size(spark):
+    df = spark.range(20_000).select(F.col("id").alias("fp"))
+    assert hash_sample(df, "fp", 20_000, 500).count() == 500 and hash_sample(df, "fp", 20_000, 30_000).count() == 20_000
+    assert hash_sample(df.limit(0), "fp", 0, 10).count() == 0
+    # a table of which these are one row in five million: the share of the hash's range is never rounded to nothing
+    for total in (10**9, 10**10, 10**11):
+        found = spark.range(20_000_000).where(hash_below("id", total, simhash.SAMPLE * 100)).count()
+        expect = 20_000_000 * simhash.SAMPLE * 100 / total
+        assert abs(found - expect) < 6 * expect**0.5
+
+
+def test_shards_at_scale():
+    """What a shard holds, by the tree's own estimate, for tables far larger than the sample."""
+    sample = np.random.default_rng(1).integers(0, 2**64, 1 << 15, dtype=np.uint64)
+    for total in (10**6, 10**7, 10**8):
+        tree = simhash.VantageTree(sample, total, 2)
+        shard, _ = tree.route(sample)
+        largest = np.bincount(shard).max() * total / len(sample)
+        assert largest <= max(simhash.SHARD, simhash._LEAST * total / len(sample)) and tree.rows < 30 * total
+    for total in (10**6, 10**9, 10**11):
+        s = sample.reshape(-1, similar.WORDS)
+        bits, views = similar.view_plan(total)
+        tree = similar.ViewTree(s, s[:, 0], total, 0, bits)
+        shard = collections.Counter()
+        for leaf, rows in tree.route(s, s[:, 0]):
+            shard[leaf] += len(rows)
+        assert tree.n_leaves > total / (4 * similar.SHARD)
+
+
+@pytest.mark.parametrize("leaf", [50, 100_000])
+def test_full_shards_are_cut_again(leaf):
+    r = np.random.default_rng(5)
+    centers = r.integers(0, 2**64, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([r.integers(0, 2**64, 1500, dtype=np.uint64), *(centers ^ (np.uint64(1) << np.uint64(b)) for b in range(0, 60, 7)), centers]))
+    u, v = simhash.shard_links(fps, 2, leaf)
+    want = {(int(a.view(np.int64)), int(b.view(np.int64))) for i, a in enumerate(fps) for b in fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ a) <= 2]}
+    assert _closure(set(zip(u.tolist(), v.tolist()))) == _closure(want)
+
+
 # --- secrets
 
 SECRET_TEXTS = [

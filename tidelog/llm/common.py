@@ -18,13 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; only where the session names none, a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster, whose machines share no such folder, that is an error.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidelog.shared.dir", None)
     if not found:
-        found = spark.conf.get("tidelog.shared.dir", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="tidelog-")
-            spark.conf.set("tidelog.shared.dir", found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidelog-")
+        spark.conf.set("tidelog.shared.dir", found)
     return found.rstrip("/")
 
 
@@ -44,17 +48,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._tidelog_path = path
+    return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``materialize`` that nothing reads any more."""
+def discard(*tables: DataFrame | str) -> None:
+    """Delete tables made by ``materialize``, or folders of ``shared_path``, that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for f in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-            if "/tidelog/" in f:
-                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = SparkSession.active().sparkContext
+        path = df if isinstance(df, str) else df._tidelog_path
+        path = context._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_key(id_col: str = "doc_id") -> Column:
@@ -67,6 +72,18 @@ def from_key(col: str) -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+def hash_below(column: str, total: int, n: int) -> Column:
+    """Whether the hash of ``column`` is among the smallest, about ``n`` of ``total`` values: a share of the hash's whole range, so it
+    holds for any total."""
+    top = -(2**63) + min(2**64 - 1, 2**64 * n // max(1, total))
+    return F.xxhash64(column, F.lit(977)) <= F.lit(top)
+
+
+def hash_sample(df: DataFrame, column: str, total: int, n: int) -> DataFrame:
+    """The ``n`` rows of ``df``, which has ``total``, whose ``column`` has the smallest hash; all, if there are no more."""
+    return df.where(hash_below(column, total, 2 * n)).orderBy(F.xxhash64(column, F.lit(977)), column).limit(n)
+
+
 def text_bytes(text_col: str = "text") -> Column:
     """UTF-8 bytes; a null text is an empty one."""
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -5,8 +5,9 @@ each order lie in sorted arrays of 64-bit hashes, shared by all languages, with
 each. A text's language is the one with the lowest cross-entropy per character. A text is rejected if that entropy is
 beyond what held-back training texts of the language reach at its length.
 
-The models are fitted on a bounded sample of labelled rows: about ``per_language`` whole documents of each language,
-chosen by a hash of the id, one in eight of them for calibration only. What is broadcast is bounded by that sample.
+The models are fitted on a bounded sample of labelled rows: about ``per_language`` whole documents of each language (less if
+they are long: ``LETTERS`` code points in all), chosen by a hash of id and text, one in eight of them for calibration only. There
+are models for the ``LANGUAGES`` most frequent labels. So what is collected and broadcast is bounded, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .common import remainder_of_id
 
 #: Documents of each language that a model is fitted on, about.
 PER_LANGUAGE = 400
+#: Code points that a language's sample holds, about; each of its texts is whole.
+LETTERS = 4_000_000
+#: Languages that have models, at most.
+LANGUAGES = 256
 ORDER = 4
 UNKNOWN = "und"
 #: Least variance of the entropies of whole texts.
@@ -218,17 +223,21 @@ class LanguageModel:
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, order: int = ORDER) -> LanguageModel | None:
     """A model of the rows where ``learn`` holds and lang is not null; None if there are none with a letter.
 
-    The sample holds about ``per_language`` rows of each language, by a hash of id and text, whatever the table's size.
+    The sample holds about ``per_language`` rows of each of the ``LANGUAGES`` most frequent languages, by a hash of id and text, whatever
+    the table's size; fewer where the language's texts are so long that they would have more than ``LETTERS`` code points, but one
+    at least. Rows that repeat id and text are drawn together, and count once.
     """
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("place"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("letters"), F.min("place").alias("first"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return None
-    steps = 1_000_000
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(steps, -(-steps * per_language // n)))]), F.col(lang_col))
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(steps))
-    picked = rows.where(place < share).select(lang_col, text_col, F.pmod(F.xxhash64(text_col, F.lit(1)), F.lit(8)).alias("part")).toPandas()
-    picked = picked.sort_values([lang_col, text_col]).to_numpy()
+    # of the whole range of the hash, the part that should hold the sample, and the language's first row in any case
+    upto = {r.lang: max(r.first, -(2**63) + min(2**64 - 1, int(2**64 * min(per_language / r.n, LETTERS / max(1, r.letters))))) for r in sizes}
+    drawn = rows.where(F.col("place") <= F.element_at(F.create_map(*[F.lit(v) for k, x in upto.items() for v in (k, x)]), F.col("lang")))
+    picked = drawn.dropDuplicates(["lang", "place"]).select("lang", "text", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(8)).alias("part")).toPandas()
+    picked = picked.sort_values(["lang", "text"]).to_numpy()
     fit, held = {}, {}
     for lang, text, part in picked:
         (held if part == 0 else fit).setdefault(lang, []).append(letters(text))
@@ -243,7 +252,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     """One row per row of ``docs``: id, lang_pred, score (the language's posterior, 0 to 1), entropy (nats per
     character), rejected.
 
-    A null text, or one without a letter, is ``und`` with score 0 and rejected; so is all if there is no model.
+    A null text, or one without a letter, is ``und`` with score 0 and rejected; so is all if there is no model. Each row is
+    judged by itself: repeated rows and ids, null ids and columns of any other name make no difference, and an empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -296,5 +307,8 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None, text_col: str =
 
 
 def fit_and_identify(docs: DataFrame, **names) -> DataFrame:
-    """``identify`` with a model of the rows whose id leaves another remainder than 2 modulo 4 (a null id: not learned)."""
+    """``identify`` with a model of the rows whose id leaves another remainder than 2 modulo 4 (a null id: not learned).
+
+    Null, empty and repeated texts, empty tables and clashing names are treated as ``train`` and ``identify`` say.
+    """
     return identify(docs, train(docs, remainder_of_id(4) != 2, **names))

@@ -4,10 +4,12 @@ Equal fingerprints are folded first (map-side minimum), so the search sees each
 fitted on a bounded sample (``SAMPLE``): every inner node has a vantage fingerprint and a radius. All fingerprints are
 routed down the tree. The triangle inequality bounds how far two linked fingerprints can differ in distance to the
 vantage, so only those within ``max_bits`` inside the radius are copied to the outer shard too; every linked pair
-therefore meets in a shard, and all other branches are pruned. Within a shard a breadth-first search joins what is
-linked, and gives one link per fingerprint instead of all pairs; ``components`` joins the shards.
+therefore meets in a shard, and all other branches are pruned. Where the sample is too thin for the tree to reach ``SHARD``, the
+task that gets a shard grows the tree further from the shard's own fingerprints, down to ``LEAF``. Within a leaf a
+breadth-first search joins what is linked, and gives one link per fingerprint instead of all pairs; ``components`` joins them.
 
-The tree only decides where pairs meet, never whether they are found: links are exact for any sample.
+The tree only decides where pairs meet, never whether they are found: links are exact for any sample. A leaf of the sampled
+tree has 16 sampled fingerprints or more, so of 10^10 (10^11) distinct fingerprints a shard has some 600,000 (6 million): 5 (50) MB.
 """
 
 from __future__ import annotations
@@ -18,13 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, from_key, id_key, materialize, text_bytes
+from .common import discard, from_key, hash_sample, id_key, materialize, text_bytes
 from .components import components
 
 #: Fingerprints that the tree is fitted on, at most.
-SAMPLE = 16_384
-#: Fingerprints a shard should hold.
-SHARD = 4_096
+SAMPLE = 1 << 18
+#: Fingerprints a shard should hold, and those that are searched together in its task.
+SHARD, LEAF = 16_384, 2_048
+#: Sampled fingerprints that a part must have to be cut.
+_LEAST = 32
+#: Rows of shards that a task should get.
+_TASK = 1 << 19
+#: Rows that are routed together.
+_ROUTED = 1 << 17
 #: Shingles whose bits are counted at a time.
 _CHUNK = 65_536
 
@@ -66,32 +74,43 @@ class VantageTree:
 
     def __init__(self, sample: np.ndarray, total: int, max_bits: int, shard: int = SHARD):
         self.max_bits, self.nodes, self.n_leaves = max_bits, [], 0
+        #: Rows that all shards together should get, copies over borders included.
+        self.rows = 0.0
         self._scale, self._shard = total / max(1, len(sample)), shard
         self._rng = np.random.default_rng(7)
         self._grow(sample)
 
-    def _grow(self, part: np.ndarray) -> int:
-        me = len(self.nodes)
-        self.nodes.append(None)
-        if len(part) * self._scale > self._shard and len(part) >= 32:
-            best = None
-            for v in self._rng.choice(part, min(12, len(part)), replace=False):
-                d = _distance(part, v)
-                reach = np.bincount(d, minlength=66).cumsum()
-                for mu in range(64):
-                    inner = int(reach[mu])
-                    outer = len(part) - (int(reach[mu - self.max_bits]) if mu >= self.max_bits else 0)
-                    if inner and outer and max(inner, outer) < 0.97 * len(part):
-                        cost = inner**2 + outer**2
-                        if best is None or cost < best[0]:
-                            best = (cost, v, mu, d)
-            if best:
-                _, v, mu, d = best
-                self.nodes[me] = (v, mu, self._grow(part[d <= mu]), self._grow(part[d > mu - self.max_bits]))
-                return me
-        self.nodes[me] = self.n_leaves
-        self.n_leaves += 1
-        return me
+    def _cut(self, part: np.ndarray):
+        """(vantage, radius, distances) of the cut that leaves the least pairs to compare; None if all leave a part all but whole."""
+        best = None
+        radius = np.arange(64)
+        for v in self._rng.choice(part, min(8, len(part)), replace=False):
+            d = _distance(part, v)
+            reach = np.bincount(d, minlength=66).cumsum()
+            inner = reach[:64]
+            outer = len(part) - np.where(radius >= self.max_bits, reach[np.maximum(radius - self.max_bits, 0)], 0)
+            cost = np.where((inner > 0) & (outer > 0) & (np.maximum(inner, outer) < 0.97 * len(part)), inner.astype(float) ** 2 + outer.astype(float) ** 2, np.inf)
+            mu = int(cost.argmin())
+            if np.isfinite(cost[mu]) and (best is None or cost[mu] < best[0]):
+                best = (cost[mu], v, mu, d)
+        return best and best[1:]
+
+    def _grow(self, sample: np.ndarray) -> None:
+        todo = [(sample, None, 0)]
+        while todo:
+            part, parent, side = todo.pop()
+            me = len(self.nodes)
+            if parent is not None:
+                self.nodes[parent][side] = me
+            cut = self._cut(part) if len(part) * self._scale > self._shard and len(part) >= _LEAST else None
+            if cut:
+                v, mu, d = cut
+                self.nodes.append([v, mu, None, None])
+                todo += [(part[d > mu - self.max_bits], me, 3), (part[d <= mu], me, 2)]
+            else:
+                self.nodes.append(self.n_leaves)
+                self.n_leaves += 1
+                self.rows += len(part) * self._scale
 
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(shard, fingerprint) rows; a fingerprint near a border has several."""
@@ -111,6 +130,17 @@ class VantageTree:
         return (np.concatenate(leaves), np.concatenate(values)) if leaves else (np.empty(0, np.int32), np.empty(0, np.uint64))
 
 
+def shard_links(fps: np.ndarray, max_bits: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """``linked`` for a shard of any size: cut further by vantage points of its own until parts hold ``leaf``, or no cut helps."""
+    if len(fps) <= leaf:
+        return linked(fps, max_bits)
+    tree = VantageTree(fps, len(fps), max_bits, leaf)
+    shard, value = tree.route(fps)
+    order = np.argsort(shard, kind="stable")
+    found = [linked(part, max_bits) for part in np.split(value[order], np.searchsorted(shard[order], np.arange(1, tree.n_leaves)))]
+    return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
+
+
 def linked(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """One link for each fingerprint that reaches another of ``fps`` (distinct): to the smallest it reaches.
 
@@ -141,23 +171,37 @@ def linked(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _gathered(batches):
+    """The first columns of several batches at a time: the tree's nodes are visited once for each."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b.column(0).to_numpy(zero_copy_only=False))
+        n += b.num_rows
+        if n >= _ROUTED:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """``fps`` (fp: long, distinct) to links (u, v) that connect exactly what is within ``max_bits`` of each other."""
     total = fps.count()
-    share = min(1.0, 0.9 * SAMPLE / max(1, total))
-    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-    tree = fps.sparkSession.sparkContext.broadcast(VantageTree(np.sort(sample).view(np.uint64), total, max_bits))
+    sample = hash_sample(fps.select("fp"), "fp", total, SAMPLE).toPandas()["fp"].to_numpy(np.int64)
+    built = VantageTree(np.sort(sample).view(np.uint64), total, max_bits)
+    tree = fps.sparkSession.sparkContext.broadcast(built)
 
     def route(batches):
-        for b in batches:
-            leaf, fp = tree.value.route(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        for part in _gathered(batches):
+            leaf, fp = tree.value.route(part.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fp.view(np.int64))], ["shard", "fp"])
 
     def search(table: pa.Table) -> pa.Table:
-        u, v = linked(table.column("fp").to_numpy().view(np.uint64), max_bits)
+        u, v = shard_links(table.column("fp").to_numpy().view(np.uint64), max_bits)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return fps.select("fp").mapInArrow(route, "shard int, fp long").groupBy("shard").applyInArrow(search, "u long, v long")
+    routed = fps.select("fp").mapInArrow(route, "shard int, fp long").repartition(int(built.rows) // _TASK + min(built.n_leaves, 8), "shard")
+    return routed.groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:

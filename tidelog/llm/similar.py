@@ -22,20 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, from_key, id_key, materialize, text_bytes
+from .common import discard, from_key, hash_below, hash_sample, id_key, materialize, text_bytes
 from .components import components
-from .simhash import SAMPLE
 
 WORDS, FLIPS, RADIUS, MISS = 8, 0.094, 1, 0.002
 #: Differing bits of another word of the sketch that a link may have before it is checked: four deviations over the expected ones.
 _NEAR = 16
-#: Sketches that a shard of a view should hold.
-SHARD = 65_536
+#: Sketches that the trees are fitted on, at most, and those that a shard of a view should hold.
+SAMPLE, SHARD = 16_384, 65_536
 _CHUNK = 16_384
 #: Texts that the order of shingles is fitted on, and shingles whose counts are kept. Any order gives the same classes.
 _ORDER, COMMON = 8_192, 1 << 19
 #: Postings of a shingle that are compared in one piece; longer lists are dealt out as pairs of blocks. Postings of a task.
-LIST, POSTINGS = 4_096, 400_000
+LIST, POSTINGS = 4_096, 200_000
 #: Rows and pairs that a worker holds at a time.
 _ROWS, _PAIRS = 1_024, 1 << 17
 #: Bits of the bitmap that texts are looked up in before they are shuffled, as a power of two: half a megabyte.
@@ -77,8 +76,7 @@ def shingle_order(docs: DataFrame, text_col: str = "text", size: int = 5) -> tup
 
     text = text_bytes(text_col)
     rows = docs.select(F.xxhash64(text).alias("rid"), text.alias("t"))
-    share = min(1.0, _ORDER / max(1, docs.count()))
-    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).dropDuplicates(["rid"]).select("t")
+    sample = rows.where(hash_below("rid", docs.count(), _ORDER)).dropDuplicates(["rid"]).select("t")
     found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
     h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(h)
@@ -196,8 +194,10 @@ class ViewTree:
                 inner = self._coin(ids, depth)
                 self.nodes[me] = (None, depth, None, 0, self._grow(s[inner], x[inner], ids[inner], depth + 1), self._grow(s[~inner], x[~inner], ids[~inner], depth + 1))
                 return me
-        self.nodes[me] = self.n_leaves
-        self.n_leaves += 1
+        # a part that the sample is too thin to cut is dealt by the last bits of its views
+        parts = 1 << math.ceil(math.log2(max(1.0, len(s) * self._scale / (2 * self._shard))))
+        self.nodes[me] = (self.n_leaves, parts)
+        self.n_leaves += parts
         return me
 
     def route(self, s: np.ndarray, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -208,8 +208,10 @@ class ViewTree:
             node = self.nodes[at]
             if not len(rows):
                 continue
-            if isinstance(node, int):
-                out.append((node, rows))
+            if len(node) == 2:
+                leaf, parts = node
+                side = (x[rows] & np.uint64(parts - 1)).astype(np.int64)
+                out += [(leaf + k, rows[side == k]) for k in np.unique(side).tolist()]
                 continue
             whole, border, v, mu, inner, outer = node
             if whole is None:
@@ -281,8 +283,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     """``nodes`` (node, s0 ... s7) to links (u, v) of nodes that may be alike; distinct, u < v."""
     total = nodes.count()
     bits, views = view_plan(total)
-    share = min(1.0, 0.9 * SAMPLE / max(1, total))
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("node").limit(SAMPLE).toPandas()
+    sample = hash_sample(nodes.select("node", *_SKETCH), "node", total, SAMPLE).toPandas()
     ids, sample = sample["node"].to_numpy(np.int64).view(np.uint64), np.ascontiguousarray(sample[_SKETCH].to_numpy(np.int64)).view(np.uint64)
     trees, first = [], [0]
     for k in range(views):
@@ -382,6 +383,7 @@ def missing_links(rooted: DataFrame, order: tuple[np.ndarray, np.ndarray], thres
     blocks = np.where(long["one"].to_numpy(bool), 0, -(-long["n"].to_numpy(np.int64) // LIST))
     dealt = context.broadcast((t[by], blocks[by]))
     total = rooted.agg(F.sum(F.size("p"))).first()[0] or 0
+    total += int((long["n"].to_numpy(np.int64) * np.maximum(0, blocks - 1)).sum())
     tasks = max(1, -(-total // POSTINGS))
 
     def deal(batches):
@@ -477,26 +479,12 @@ def possible_links(links: DataFrame, nodes: DataFrame, threshold: float) -> Data
 def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links whose nodes' shingle sets have a Jaccard coefficient of ``threshold`` or more."""
     pairs = links.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
 
-    def run(batches):
-        for b in _slices(batches):
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """One row per row of ``docs``: id, rid, component_id: the smallest id reachable over links.
-
-    Linked are texts of equal words (A-Z in lower case), and those found alike by ``threshold`` over ``size``-word shingles.
-    Texts without words are alike. Rows with null ids take part; they are never the
-    smallest unless their class has no other. Repeated rows stay repeated; an empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, size: int) -> DataFrame:
+    """id, rid, root (the same for all rows of a class, and for no others) and component, the smallest ``id_key`` of the class."""
     order = shingle_order(docs, text_col, size)
     each = materialize(sketches(docs, order, id_col, text_col, threshold, size), "sketches")
     grouped = each.groupBy("node", *_SKETCH).agg(F.min(F.struct(id_key("id").alias("key"), "rid", "n", "p", "m")).alias("low"))
@@ -524,18 +512,37 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = materialize(components(alike.union(more)), "roots")
     rooted = materialize(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "lowest")
-    classes = materialize(rooted.join(lowest, "root").select("node", "component"), "classes")
+    classes = materialize(rooted.join(lowest, "root").select("node", "root", "component"), "classes")
     discard(alike, more, roots, rooted, lowest, nodes)
-    return slim.join(classes, "node").select("id", "rid", from_key("component").alias("component_id"))
+    out = materialize(slim.join(classes, "node").select("id", "rid", "root", "component"), "classified")
+    discard(slim, classes)
+    return out
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """One row per row of ``docs``: id, rid, component_id: the smallest id reachable over links.
+
+    Linked are texts of equal words (A-Z in lower case), and those found alike by ``threshold`` over ``size``-word shingles.
+    Texts without words are alike. Rows with null ids take part; they are never the
+    smallest unless their class has no other. Repeated rows stay repeated; an empty table gives an empty result.
+    """
+    return _classified(docs, id_col, text_col, threshold, size).select("id", "rid", from_key("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """``docs`` with one document of each class of ``similar_classes``: that with the smallest id.
+    """``docs`` with one row of each class of ``similar_classes``: that with the smallest id, a null one being the largest.
 
-    Rows with a null id stay (nothing tells which of them is which). Of rows that repeat the smallest id, all stay, whatever
-    their texts.
+    Of several rows with that id, or with null ids in a class that has no others, that with the smallest hash of its text stays; of rows
+    with equal id and text, any one. Texts without words are one class. An empty table gives an empty result.
     """
-    found = similar_classes(docs, id_col, text_col, threshold, size).where("id <> component_id")
-    gone = materialize(found.select(F.col("id").alias("__id"), F.col("rid").alias("__rid")).distinct(), "gone")
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_bytes(text_col)) == F.col("__rid"))
-    return docs.join(gone, same, "left_anti")
+    found = _classified(docs, id_col, text_col, threshold, size).select("root", id_key("id").alias("__key"), F.col("rid").alias("__rid"))
+    pairs = found.groupBy("root", "__key", "__rid").agg(F.count("*").alias("__n"))
+    firsts = pairs.groupBy("root").agg(F.min(F.struct("__key", "__rid")).alias("__first"))
+    judged = pairs.join(firsts, "root").select("__key", "__rid", (F.struct("__key", "__rid") == F.col("__first")).alias("__stays"), "__n")
+    judged = materialize(judged.where("not __stays or __n > 1"), "judged")
+    keyed = docs.withColumns({"__key": id_key(id_col), "__rid": F.xxhash64(text_bytes(text_col))})
+    out = keyed.join(judged.select("__key", "__rid"), ["__key", "__rid"], "left_anti").select(*docs.columns)
+    if judged.where("__stays").isEmpty():
+        return out
+    repeated = keyed.join(judged.where("__stays").select("__key", "__rid"), ["__key", "__rid"]).dropDuplicates(["__key", "__rid"])
+    return out.union(repeated.select(*docs.columns))

@@ -197,8 +197,8 @@ def _extend(length: int, level: int):
     return run
 
 
-def _survivors(found: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-    """``found``, a level's runs, to (repeats, open runs): tables of dk, rid and at, which are written and to be discarded."""
+def _survivors(found: DataFrame, tag: str) -> DataFrame:
+    """``found``, a level's runs, to those that are repeats and those that have to be extended: dk, rid, at, repeat."""
     shared = materialize(
         found.groupBy("anchor").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.min("span").alias("s"), F.max("span").alias("z"))
         .where("lo <> hi").select("anchor", F.expr("s <> z").alias("varied")), f"anchors{tag}",
@@ -206,9 +206,10 @@ def _survivors(found: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
     live = materialize(found.join(shared, "anchor"), f"live{tag}")
     firsts = materialize(live.groupBy("anchor", "span").agg(F.min("dk").alias("first"), F.max("dk").alias("last")).where("first <> last").drop("last"), f"firsts{tag}")
     repeat = F.coalesce(F.expr("first < dk"), F.lit(False)).alias("repeat")
-    judged = materialize(live.join(firsts, ["anchor", "span"], "left").select("dk", "rid", "at", repeat, "varied").where("repeat or varied"), f"judged{tag}")
+    judged = live.join(firsts, ["anchor", "span"], "left").select("dk", "rid", "at", repeat, "varied").where("repeat or varied").drop("varied")
+    judged = materialize(judged, f"judged{tag}")
     discard(found, shared, live, firsts)
-    return judged.where("repeat").select("dk", "rid", "at"), judged.where("varied and not repeat").select("dk", "rid", "at")
+    return judged
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -219,20 +220,20 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not 2 <= length <= 4096:
         raise ValueError("length must be from 2 to 4096 words")
     keyed = docs.select(*_keyed(docs, id_col, text_col))
-    repeats, steps = [], levels(length)
+    judged, steps = [], levels(length)
     found = materialize(keyed.mapInArrow(_find_runs(length, steps[0]), _RUN), "runs")
     for level, following in zip(steps, [*steps[1:], None]):
-        settled, open_runs = _survivors(found, str(level))
-        repeats.append(settled)
+        judged.append(_survivors(found, str(level)))
+        open_runs = judged[-1].where("not repeat")
         if following is None or open_runs.isEmpty():
             break
         lists = open_runs.groupBy("dk", "rid").agg(F.collect_set("at").alias("at"))
         # rows that repeat id and text have the same runs: one of them is enough
         texts = keyed.join(lists, ["dk", "rid"]).select("dk", "rid", "t", "at")
         found = materialize(texts.mapInArrow(_extend(length, following), _RUN), f"runs{following}")
-    lists = reduce(DataFrame.union, repeats).groupBy("dk", "rid").agg(F.collect_set("at").alias("at"))
+    lists = reduce(DataFrame.union, judged).where("repeat").groupBy("dk", "rid").agg(F.collect_set("at").alias("at"))
     out = materialize(lists, "repeats")
-    discard(*repeats)
+    discard(*judged)
     return out
 
 
