@@ -5,8 +5,8 @@ reported. Weak candidates are reported only if complementary parts stand within
 needs a secret, an opaque string an identifier, an endpoint both. The linking is an interval join inside each text: the
 parts of each kind are sorted, and a binary search finds the first that ends after a candidate's scope begins.
 
-A match is located by searching for its text from the end of the match before. That is where it was found: if its text
-stood earlier, a match would have begun there, as the patterns look neither behind nor ahead.
+Matches are located by lengths: those of the matches and of the pieces between them, summed up by doubling steps. So the work is
+n log n in the matches of a text, and linear in its length.
 """
 
 from __future__ import annotations
@@ -27,20 +27,32 @@ KINDS = ("assign", "access", "hex", "endpoint", "weak_id", "weak_secret")
 BASE = KINDS[:3]
 #: Code points between parts of one credential, at most.
 SCOPE = 200
-_SPANS = "array<struct<s:int,e:int,m:string>>"
+#: Code points that a text is cut into before it is masked.
+_CHUNK = 4_096
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """All matches with their first code point (from 0) and the one after their last."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, though ``use`` may name it in a lambda for each of many elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def add(acc: Column, m: Column) -> Column:
-        return F.aggregate(
-            F.array(F.position(m, text, acc["at"])), acc,
-            lambda a, p: F.struct((p + F.char_length(m)).alias("at"), F.concat(a["out"], F.array(F.struct((p - 1).alias("s"), (p - 1 + F.char_length(m)).alias("e"), m.alias("m")))).alias("out")),
-        )
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, add, lambda acc: acc["out"])
+def _here(value: Column) -> Column:
+    """``value``, not to be computed elsewhere: a filter on it is not pushed below the steps it is made of, which would
+    write all of them out again at each place they are named."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def _scan(values: Column, n: Column, combine) -> Column:
+    """Each of ``n`` ``values`` (an array of numbers) combined with all before it: in steps of 1, 2, 4 ... elements."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda back: back < n)
+    return F.aggregate(steps, values, lambda done, back: F.transform(done, lambda x, i: F.when(i >= back, combine(x, F.get(done, i - back))).otherwise(x)))
+
+
+def _located(text: Column, matches: Column, pattern: str) -> Column:
+    """``matches`` with their first code point (from 0) and the one after their last."""
+    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
+    ends = _scan(F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, k: k + F.char_length(m)), F.size(matches), lambda x, y: x + y)
+    return F.when(F.size(matches) > 0, F.zip_with(matches, ends, lambda m, e: F.struct((e - F.char_length(m)).alias("s"), e.alias("e"), m.alias("m")))).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
 def _near(spans: Column, c: Column, scope: int) -> Column:
@@ -64,8 +76,10 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, prefix: st
     itself, so repeated rows, null ids and clashing columns make no difference; a column named like the new one is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, ENDPOINT, WEAK_ID, WEAK_SECRET)))
     found = docs.select("*", text.alias("__t"))
-    found = found.select("*", *[_located(F.col("__t"), p).alias(f"__{k}") for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, ENDPOINT, WEAK_ID, WEAK_SECRET))])
+    found = found.select("*", *[F.regexp_extract_all("__t", F.lit(p), F.lit(0)).alias(f"__{k}") for k, p in patterns.items()])
+    found = found.withColumns({f"__{k}": _located(F.col("__t"), F.col(f"__{k}"), p) for k, p in patterns.items()})
     column = {k: F.col(f"__{k}") for k in KINDS}
     found = found.withColumns({
         "__assign": F.filter(column["assign"], lambda x: F.char_length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6),
@@ -84,7 +98,7 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, prefix: st
         "__weak_secret": F.filter(column["weak_secret"], lambda c: beside(c, identifiers)),
     })
     spans = F.sort_array(F.concat(*[F.transform(column[k], _as_span(i)) for i, k in enumerate(KINDS)]))
-    return found.withColumn(f"{prefix}spans", spans).drop("__t", *[f"__{k}" for k in KINDS])
+    return found.withColumn(f"{prefix}spans", _here(spans)).drop("__t", *[f"__{k}" for k in KINDS])
 
 
 def _as_span(kind: int):
@@ -115,17 +129,29 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, mask: st
     Texts without spans, and null texts, stay as they are.
     """
     found = scan(docs, text_col, scope, "__")
-    whole = F.array().cast("array<struct<s:int,e:int>>")
+    spans, text = F.col("__spans"), F.col(text_col)
+    found = found.withColumn("__reach", _scan(F.transform(spans, lambda x: x["end"]), F.size(spans), lambda x, y: F.greatest(x, y)))
+    # spans that begin beyond all before them
+    first = F.filter(F.transform(spans, lambda x, i: F.when((i == 0) | (x["start"] > F.get(F.col("__reach"), i - 1)), i)), lambda i: i.isNotNull())
+    found = found.withColumn("__first", first)
 
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(-1))),
-                      F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["end"]).alias("e"))))
-                      ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e")))))
+    def merged(first: Column) -> Column:
+        last = lambda k: F.coalesce(F.get(first, k + 1), F.size(spans)) - 1
+        return F.transform(first, lambda i, k: F.struct(F.get(spans, i)["start"].alias("s"), F.get(F.col("__reach"), last(k)).alias("e")))
 
-    found = found.withColumn("__merged", F.aggregate("__spans", whole, join))
+    found = found.withColumn("__merged", _once(F.col("__first"), merged))
     ends = F.concat(F.array(F.lit(0)), F.transform("__merged", lambda x: x["e"]))
-    starts = F.concat(F.transform("__merged", lambda x: x["s"]), F.array(F.char_length(text_col)))
-    kept = F.zip_with(ends, starts, lambda e, s: F.substring(F.col(text_col), e + 1, s - e))
-    clean = F.when(F.size("__merged") > 0, F.array_join(kept, mask)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).drop("__spans", "__merged")
+    starts = F.concat(F.transform("__merged", lambda x: x["s"]), F.array(F.char_length(text)))
+    kept = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+
+    def cut(chunks: Column, x: Column) -> Column:
+        def part(k: Column) -> Column:
+            begin, end = F.greatest(F.lit(0), x["e"] - k * _CHUNK), F.least(F.lit(_CHUNK), x["s"] - k * _CHUNK)
+            return F.substring(F.get(chunks, k), begin + 1, end - begin)
+
+        return F.array_join(F.transform(F.sequence(F.floor(x["e"] / _CHUNK).cast("int"), F.floor(x["s"] / _CHUNK).cast("int")), part), "")
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    masked = _once(chunks, lambda c: F.array_join(F.transform(kept, lambda x: cut(c, x)), mask))
+    clean = F.when(F.size("__merged") > 0, masked).otherwise(text)
+    return found.withColumn(text_col, _here(clean)).select(*docs.columns)
