@@ -912,6 +912,54 @@ def test_bands(spark):
     assert by_script.where("not in_bands").count() == 0  # its script has no other texts to compare with
 
 
+def _measures(encoder, t):
+    pieces = encoder.sp.encode(t)
+    c = collections.Counter(pieces)
+    n = len(pieces)
+    return n, len(t) / n, sum(encoder.sp.is_byte(x) for x in pieces) / n, -sum(k / n * math.log2(k / n) for k in c.values())
+
+
+def test_measures_and_bands_by_brute_force(spark):
+    """What differs from a language's texts of like length is rejected: other scripts, noise, symbols, one word over and over."""
+    _, syllables, make = _languages()
+    r = random.Random(6)
+    rows = [(i, make(syllables["aa"], r.choice([30, 60, 120, 400])), "aa", "s", 0) for i in range(400)]
+    planted = {
+        1000: "".join(r.choice("qxzjkvwQXZ0123456789") for _ in range(400)).replace("9", " "),  # noise
+        1001: "Жили были дед и баба ели кашу с молоком " * 3 + "у них была курочка ряба снесла яичко",  # another script
+        1002: " ".join("𐐀𐐁𐐂𐐃"[i % 4] * 3 for i in range(60)),  # bytes
+        1003: " ".join(w + "###$$$" for w in make(syllables["aa"], 80).split()),
+        1004: " ".join(f"{a}{b}" for a in "kl" for b in "ao" for _ in range(30)),
+    }
+    rows += [(i, t, "aa", "s", 0) for i, t in planted.items()] + [(2000, make(syllables["bb"], 50), "bb", "s", 0), (2001, "", "aa", "s", 0)]
+    got = {x.id: x for x in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    encoder = PieceEncoder(read_model())
+    want = {i: _measures(encoder, t) for i, t, *_ in rows if t}
+    for i, m in want.items():
+        assert (got[i].n_tokens, got[i].chars_per_token, got[i].byte_share) == pytest.approx(m[:3]) and got[i].token_entropy == pytest.approx(m[3])
+    octaves = collections.defaultdict(list)
+    for i, t, lang, *_ in rows:
+        if t:
+            octaves[lang, int(math.log2(want[i][0]))].append(i)
+            octaves[lang, -1].append(i)
+
+    def inside(i, lang):
+        n, octave = want[i][0], int(math.log2(want[i][0]))
+        alone = len(octaves[lang, octave]) < 30
+        group = octaves[lang, -1 if alone else octave]
+        ok = True
+        for k, least in ((1, 0.02 + 1 / n), (2, 0.01 + 1 / n), (3, 0.02 + math.log2(n + 1) / n)):
+            v = sorted(want[j][k] for j in group)
+            low, high = v[math.ceil(0.25 * len(v)) - 1], v[math.ceil(0.75 * len(v)) - 1]
+            room = 3 * max(high - low, least)
+            ok &= len(group) < 30 or (alone and k == 3) or low - room <= want[i][k] <= high + room
+        return ok
+
+    assert {i: got[i].in_bands for i in want} == {i: inside(i, lang) for i, t, lang, *_ in rows if t}
+    assert not any(got[i].kept for i in planted) and got[2000].in_bands and got[2001].in_bands
+    assert sum(not got[i].in_bands for i in range(400)) <= 4
+
+
 # --- packing
 
 

@@ -3,7 +3,9 @@
 A public vocabulary splits a text the better the more it resembles what the vocabulary was made for. For each text this
 measures characters per token, the share of byte-fallback tokens and the entropy of its tokens, beside plain counts of
 symbols, repeated lines and repeated word windows. Texts are rejected outside bands that are derived for each
-language (or script, where the language is null) from quartiles over the whole corpus.
+language (or script, where the language is null) and each octave of lengths, as all three measures depend on the length, from quartiles
+over the whole corpus: three interquartile ranges beyond them, Tukey's limit for far outliers, which a normal distribution
+exceeds with one in 400,000 texts.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: How many interquartile ranges beyond the quartiles a band reaches.
-REACH = 6.0
-#: The least half width of each band.
-LEAST = {"chars_per_token": 1.0, "byte_share": 0.15, "token_entropy": 2.5}
-#: Texts with fewer tokens are not judged by the bands: their measures are noise.
-LEAST_TOKENS = 64
+REACH = 3.0
+#: The least range that counts as one: beside what one token more or less changes, so that uniform groups tolerate small differences.
+LEAST = {"chars_per_token": 0.02, "byte_share": 0.01, "token_entropy": 0.02}
+#: Texts that a group needs for a band.
+LEAST_TEXTS = 30
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _MEASURES = "script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 
@@ -88,7 +90,8 @@ def script(text: str) -> str:
 def measure(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(id, lang, counts, script, n_tokens, chars_per_token, byte_share, token_entropy in bits) for each row.
 
-    Null texts count as empty ones; where there is no token the ratios are zero.
+    Null texts count as empty ones; where there is no token the ratios are zero. Texts are measured whole, each row by itself, so
+    repeated rows and null ids make no difference; only the named columns are read, whatever others are called.
     """
     model = model or read_model()
 
@@ -119,26 +122,40 @@ def measure(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
 def judge(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """``measured`` with base_failed, in_bands and kept.
 
-    base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. The bands of a group (language,
-    or script where that is null) come from the quartiles of all its texts with ``LEAST_TOKENS`` tokens; texts with fewer, and groups
-    without any, are within them.
+    base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. A text's group is its language (its script,
+    where that is null) with the octave of its number of tokens; it is in the bands if all measures are at most ``reach``
+    interquartile ranges of the group beyond its quartiles. Where an octave has fewer than ``LEAST_TEXTS`` texts, characters per
+    token and byte share are held against those of the whole language; entropy, which grows with the length, is not judged.
+    Languages with fewer texts have no bands, and texts without tokens are in them. Repeated rows count as often as they stand
+    there; an empty table gives an empty result.
     """
     group = F.coalesce("lang", F.concat(F.lit("script "), "script"))
-    rows = measured.withColumn("__group", group)
-    long = rows.where(F.col("n_tokens") >= LEAST_TOKENS).groupBy("__group")
+    rows = measured.withColumn("__group", group).withColumn("__octave", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"))
+    each = rows.where("n_tokens > 0").groupBy("__group", "__octave")
+    whole = rows.where("n_tokens > 0").groupBy("__group")
     quartiles = [F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"__{c}") for c in LEAST]
-    bands = materialize(long.agg(*quartiles), "bands")
+    enough = F.count("*").alias("__texts")
+    octaves = each.agg(enough, *quartiles)
+    languages = whole.agg(enough, *[q if "token_entropy" not in c else F.lit(None).cast("array<double>").alias(f"__{c}") for c, q in zip(LEAST, quartiles)]).withColumn("__octave", F.lit(-1))
+    bands = materialize(octaves.unionByName(languages).where(F.col("__texts") >= LEAST_TEXTS).drop("__texts"), "bands")
+    small = bands.count() <= 10_000
+    of = lambda cond, tag: bands.where(cond).select("__group", *(["__octave"] if not tag else []), *[F.col(f"__{c}").alias(f"__{c}{tag}") for c in LEAST])
+    for table, keys in ((of("__octave >= 0", ""), ["__group", "__octave"]), (of("__octave < 0", "_all"), ["__group"])):
+        rows = rows.join(F.broadcast(table) if small else table, keys, "left")
+    n = F.greatest(F.col("n_tokens"), F.lit(1))
+    step = {"chars_per_token": 1 / n, "byte_share": 1 / n, "token_entropy": F.log2(n + 1) / n}
     within = F.lit(True)
     for c, least in LEAST.items():
-        low, high = F.element_at(f"__{c}", 1), F.element_at(f"__{c}", 2)
-        room = F.greatest(F.lit(least), F.lit(reach) * (high - low))
-        within = within & F.col(c).between(low - room, high + room)
+        band = F.coalesce(f"__{c}", F.when(F.col("__chars_per_token").isNull(), F.col(f"__{c}_all")))
+        low, high = F.element_at(band, 1), F.element_at(band, 2)
+        room = F.lit(reach) * F.greatest(high - low, F.lit(least) + step[c])
+        within = within & F.coalesce(F.col(c).between(low - room, high + room), F.lit(True))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    joined = rows.join(F.broadcast(bands) if bands.count() <= 10_000 else bands, "__group", "left")
-    fine = (F.col("n_tokens") < LEAST_TOKENS) | F.coalesce(within, F.lit(True))
-    return joined.select(*measured.columns, failed.alias("base_failed"), fine.alias("in_bands"), (~failed & fine).alias("kept"))
+    fine = (F.col("n_tokens") == 0) | within
+    return rows.select(*measured.columns, failed.alias("base_failed"), fine.alias("in_bands"), (~failed & fine).alias("kept"))
 
 
 def quality(docs: DataFrame, **names) -> DataFrame:
-    """``measure`` and ``judge``; the measures are written once, since the bands need all of them first."""
+    """``measure`` and ``judge``; the measures are written once, since the bands need all of them first. Nulls, empty and repeated
+    rows, empty tables and clashing names are treated as these say."""
     return judge(materialize(measure(docs, **names), "measures"))
