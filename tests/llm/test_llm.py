@@ -1005,7 +1005,43 @@ def test_packing_of_odd_rows(spark, odd, empty):
     assert packing.pack(packing.token_counts(empty)).count() == 0
 
 
-def test_long_lengths_share_cells(spark):
-    df = spark.createDataFrame([(n,) for n in (0, 1, 4096, 4097, 5000, 123_456, 10**7)], "n long")
-    for r in df.select("n", packing.cell_of("n").alias("c")).collect():
-        assert r.n <= r.c <= r.n * 1.004 + 1 and (r.n > 4096 or r.c == r.n)
+def _least_padding(values, counts, buckets):
+    """The plain table over all boundaries."""
+    n = len(values)
+    best = [0] + [math.inf] * n
+    for _ in range(buckets):
+        best = [0] + [min(best[i] + sum((values[j] - values[k]) * counts[k] for k in range(i, j + 1)) for i in range(j + 1)) for j in range(n)]
+    return best[n]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_lengths_are_exact(spark, seed, monkeypatch):
+    """Boundaries of lengths of any size are optimal, and are lengths that occur; also where the costs go in pieces."""
+    r = np.random.default_rng(seed)
+    lengths = np.concatenate([r.integers(0, 4000, 15), r.integers(4096, 10**7, 12), [4097, 5000]])
+    values, counts = np.unique(lengths, return_counts=True)
+    if seed % 2:
+        monkeypatch.setattr(packing, "_COSTS", 8)
+    for buckets in (1, 4, 7):
+        bounds = packing.optimal_boundaries(values, counts, buckets)
+        assert _padding(lengths.tolist(), bounds) == _least_padding(values.tolist(), counts.tolist(), buckets) and set(bounds) <= set(values.tolist())
+    if not seed:
+        got = packing.pack(spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "id long, n_tokens long"), buckets=7).collect()
+        assert sum(x.padding for x in got) == _least_padding(values.tolist(), counts.tolist(), 7)
+
+
+def test_many_distinct_lengths():
+    r = np.random.default_rng(1)
+    values = np.unique(r.integers(0, 10**7, 200_000))
+    begin = time.time()
+    assert len(packing.optimal_boundaries(values, r.integers(1, 50, len(values)), 16)) == 16 and time.time() - begin < 60
+
+
+def test_repeated_rows_are_dealt_out(spark, monkeypatch):
+    """Rows without id, or of one id, fill a shard each; no window holds them all."""
+    monkeypatch.setattr(packing, "FULL", 200)
+    df = spark.range(6000).select(F.when(F.col("id") < 2000, None).when(F.col("id") < 4000, 5).otherwise(F.col("id")).cast("long").alias("id"), F.lit(100).alias("n_tokens"))
+    out = packing.pack(df, budget=1000)
+    places = sorted((r.batch, r.place) for r in out.collect())
+    assert places == [(b, p) for b in range(600) for p in range(10)]
+    assert out.where("id is null").count() == 2000
