@@ -776,13 +776,27 @@ def test_lm_scores(spark, lattice):
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.learned) == (len(w), sum(c[x] > 0 for x in w), n, i in learned)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and -1e6 < r.score < 0
-    known = [x for x in c if x]
     own = n / (n + v)
-    # what the words' own arcs give is the least a text can have
+    # by the vocabulary's own scores, over all segmentations; and with the words' own arcs
     for i, w in tokens.items():
-        if all(c[x] for x in w):
-            assert got[i].score >= sum(math.log10(own * c[x] / n) for x in w) - 1e-9
-    assert known
+        part = [lattice.marginal([MARK + x])[0] / math.log(10) for x in w[:-1]]
+        assert math.isclose(got[i].score, sum(part) + math.log10(c[None] / n), rel_tol=1e-9)
+        mixed = [math.log10(own * c[x] / n + (1 - own) * 10**p) for x, p in zip(w, part)]
+        assert math.isclose(got[i].mixed_score, sum(mixed) + math.log10(own * c[None] / n), rel_tol=1e-9)
+
+
+def test_lm_scores_of_repeated_rows(spark, monkeypatch):
+    """A block that repeated rows fill is folded; the counts and the rows are the same."""
+    rows = [(None, text(30, 1, 50))] * 500 + [(5, text(30, 2, 50))] * 700 + [(i, text(30, i, 50)) for i in range(50, 90)]
+    docs, learn = table(spark, rows), F.coalesce(F.col("doc_id") % 2 == 1, F.lit(True))
+    plain = sorted(map(tuple, lm.score_documents(docs, learn).collect()), key=repr)
+    monkeypatch.setattr(lm, "BLOCK", 4000)
+    monkeypatch.setattr(lm, "_COPIES", 64)
+    folded = sorted(map(tuple, lm.score_documents(docs, learn).collect()), key=repr)
+    assert len(plain) == len(rows) and [x[:6] for x in plain] == [x[:6] for x in folded]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for x, y in zip(plain, folded) for a, b in zip(x[5:], y[5:]))
+    dealt = lm._folded(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.lit(True).alias("learn"), F.col("text").cast("binary").alias("t")), 30)
+    assert dealt.count() < 50 and dealt.agg(F.sum("n")).first()[0] == len(rows)
 
 
 def test_fitting_raises_the_likelihood(spark, lattice):
