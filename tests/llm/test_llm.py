@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -750,10 +751,8 @@ def test_substring_levels():
     assert all(b <= 2 * a for n in range(2, 300) for a, b in zip(substring.levels(n), substring.levels(n)[1:]))
 
 
-@pytest.mark.parametrize("piece", [100, 1 << 18])
-def test_substrings_where_runs_vary(spark, monkeypatch, piece):
+def test_substrings_where_runs_vary(spark):
     """Shared passages with other surroundings go through all levels."""
-    monkeypatch.setattr(substring, "_PIECE", piece)
     r = random.Random(8)
     base = words(400, 77)
     rows = [(i, " ".join(words(r.randrange(30), 500 + i) + base[(a := r.randrange(350)) : a + r.randrange(20, 200)] + words(r.randrange(30), 800 + i))) for i in range(80)]
@@ -761,6 +760,20 @@ def test_substrings_where_runs_vary(spark, monkeypatch, piece):
     _check(spark, [(i, " ".join(r.choice("ab") for _ in range(90))) for i in range(10)], 5)
 
 
+def test_runs_extend_in_pieces(monkeypatch):
+    raw = text(900, 5, 50).encode()
+    at = pa.array([[(20 << 32) | s for s in range(0, 820, 13)]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([-7]), pa.array([raw]), at], ["dk", "rid", "t", "at"])
+
+    def found():
+        return sorted(x for b in substring._extend(50, 25)([batch]) for x in zip(*(c.to_pylist() for c in b.columns)))
+
+    whole = found()
+    monkeypatch.setattr(substring, "_PIECE", 100)
+    assert found() == whole and len(whole) > 60
+    assert sum(x[4] >> 32 for x in whole) == 20 * 64 and {x[2:4] for x in whole} == {(1, -7)}
+
+
 # --- LM scores
 
 
@@ -881,6 +894,47 @@ def test_bad_arc_files():
         list(warc.parse_warc("f", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"))
 
 
+def _members(data, each):
+    return b"".join(gzip.compress(data[i : i + each], 1) for i in range(0, len(data), each))
+
+
+def test_many_members():
+    """A file with a member for each record is read in linear time; one that is cut at the border of a record is an error."""
+    parts = [warc.arc_version_block(1, "x", "20010101000000") + b"\n"]
+    parts += [warc.arc_header(1, f"http://a/{i}", "1.1.1.1", "20010101000000", "text/html", 3).encode() + b"\nabc\n" for i in range(50_000)]
+    whole = b"".join(gzip.compress(p, 1) for p in parts)
+    begin = time.time()
+    got = list(warc.parse_arc("f", whole))
+    assert len(got) == 50_000 and got[-1][2] == "http://a/49999" and time.time() - begin < 20
+    one = gzip.compress(b"".join(parts[:100]), 0)  # stored: the deflate stream is cut where a record ends
+    cut = one[: one.rindex(b"http://a/98")]
+    for bad in (cut, whole[:-4], whole[: len(whole) - 20]):
+        with pytest.raises(ValueError, match="offset"):
+            list(warc.parse_arc("f", bad))
+    assert len(list(warc.parse_arc("f", whole + b"\0" * 600))) == 50_000
+
+
+@pytest.mark.parametrize("each", [1, 7, 100, 100_000])
+def test_archive_reads_in_steps(monkeypatch, each):
+    monkeypatch.setattr(warc, "_STEP", 5)
+    data = bytes(rng.randrange(97, 105) for _ in range(3000)) + b"\r\n\r\nrest"
+    file = warc.Archive(_members(data, each))
+    assert file.read(10) == data[:10] and file.peek() == data[10:11] and file.until(b"\r\n\r\n") == data[10:3000]
+    assert file.at == 3004 and file.read(4) == b"rest" and file.peek() == b"" and file.read(1) is None
+
+
+def test_files_are_rolled(spark, tmp_path):
+    rows = [("http://a/%d" % i, "1.1.1.1", "20010101000000", "text/html", bytearray(b"x" * 1000)) for i in range(200)] + [(None, None, None, None, None)]
+    records = spark.createDataFrame(rows, "url string, ip string, date string, content_type string, block binary").coalesce(2)
+    warc.write_arc(records, str(tmp_path / "arc"), (1, 2), file_bytes=20_000)
+    assert len(list((tmp_path / "arc").glob("*.gz"))) >= 10
+    back = warc.read_arc(spark, str(tmp_path / "arc"))
+    assert back.count() == 201 and back.select("file", "at").distinct().count() == 201
+    warc.write_records(warc.convert(back, file_bytes=20_000), str(tmp_path / "warc"))
+    kinds = collections.Counter(dict(r.headers)["warc-type"] for r in warc.read_warc(spark, str(tmp_path / "warc")).collect())
+    assert kinds["warcinfo"] >= 2 and kinds["resource"] + kinds["revisit"] == 201
+
+
 @pytest.mark.parametrize("given, want", [("20010203040506", "2001-02-03T04:05:06Z"), ("20010203", "2001-02-03T00:00:00Z"), ("2001", "2001-01-01T00:00:00Z"), ("", "1970-01-01T00:00:00Z"), ("-", "1970-01-01T00:00:00Z"), ("200102030405", "2001-02-03T04:05:00Z")])
 def test_dates(given, want):
     assert warc.warc_date(given) == want
