@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import MAX_RECORD_BYTES, RECORD_OVERHEAD
-from .bytes import big_endian
+from .bytes import big_endian, from_big_endian
 from .hashing import crc32c, fnv1a32
 
 
@@ -40,6 +40,12 @@ def encode_record(offset: Column, timestamp: Column, key: Column, value: Column,
     return F.when(size <= MAX_RECORD_BYTES, whole)
 
 
+def valid_record(data: Column) -> Column:
+    """Whether a binary column holds one whole record: its length is the declared one, and its checksum is that of its body."""
+    whole = (F.octet_length(data) >= RECORD_OVERHEAD) & (from_big_endian(F.substring(data, 1, 4)) == F.octet_length(data) - 4)
+    return F.coalesce(whole & (from_big_endian(F.substring(data, 21, 4)) == crc32c(F.substring(data, 25, MAX_RECORD_BYTES))), F.lit(False))
+
+
 def segment_file_name(base_offset: Column) -> Column:
     return F.concat(F.lpad(base_offset.cast("string"), 20, "0"), F.lit(".log"))
 

@@ -42,8 +42,11 @@ def save_topics(topics: DataFrame, path: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    # one step that replaces the old file: a rename with overwrite, where the store has one
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(part), context.makeQualified(target), overwrite)
 
 
 # --- replicas and leaders
@@ -79,6 +82,22 @@ def metadata(topics: DataFrame, replicas: Column, in_sync: DataFrame | None = No
     return coded.join(rows, "topic", "left").select("topic", "partition", "leader", "replicas", "isr", "error_code")
 
 
+def without_errors(rows: DataFrame) -> DataFrame:
+    """What a client keeps of metadata: topics without an error."""
+    return rows.where(F.coalesce(F.col("error_code"), F.lit(0)) == 0)
+
+
+def partition_counts(rows: DataFrame) -> DataFrame:
+    """name and num_partitions of each topic in metadata rows, as an assignor is given them."""
+    return rows.groupBy(F.col("topic").alias("name")).agg(F.count("partition").cast("int").alias("num_partitions"))
+
+
+def by_topic(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
+    """``keys``, topic and partitions: the partitions of each topic (with ``fields``, as structures), ascending, as requests carry them."""
+    one = F.struct("partition", *fields) if fields else F.col("partition")
+    return rows.groupBy(*keys, "topic").agg(F.sort_array(F.collect_list(one)).alias("partitions"))
+
+
 def create_topics(requests: DataFrame, topics: DataFrame, order: list) -> DataFrame:
     """``requests`` (name, num_partitions, ...) with error_code: 17 for the name, then 15 for the number, then 14 if it exists.
 

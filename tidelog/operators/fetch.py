@@ -47,14 +47,43 @@ def fetch(requests: DataFrame, log: DataFrame, partitions: DataFrame) -> tuple[D
     code = F.when(F.col("hw").isNull(), ERRORS["unknown_topic_or_partition"]).when((F.col("fetch_offset") < F.col("hw")) & (F.col("fetch_offset") < F.col("log_start")), ERRORS["offset_out_of_range"]).otherwise(0)
     answered = known.withColumn("error_code", code.cast("int"))
     open_ = answered.where("error_code = 0 and fetch_offset < hw and max_bytes > 0").select(*KEYS, "fetch_offset", "max_bytes", "hw")
-    rows = log.join(open_, KEYS).where((F.col("offset") >= F.col("fetch_offset")) & (F.col("offset") < F.col("fetch_offset") + F.floor(F.col("max_bytes") / RECORD_OVERHEAD) + 1))
+    rows = _wanted(requests, log).join(open_, KEYS).where((F.col("offset") >= F.col("fetch_offset")) & (F.col("offset") < F.col("fetch_offset") + F.floor(F.col("max_bytes") / RECORD_OVERHEAD) + 1))
     found = budget_prefix(rows, F.col("max_bytes"), [*KEYS, "fetch_offset"]).where("offset < hw").drop("max_bytes", "hw")
     return answered, found
 
 
-def replica_fetch(log: DataFrame, first: int, max_bytes: int) -> DataFrame:
-    """What a follower reads: up to the end of the log, whatever is visible to consumers."""
-    return fetch_each(log, first, max_bytes)
+def _wanted(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """``log`` between the least offset that the few ``requests`` name and the greatest that their budgets reach: bounds that the scan gets."""
+    reach = F.col("fetch_offset") + F.floor(F.greatest(F.col("max_bytes"), F.lit(0)) / RECORD_OVERHEAD) + 1
+    first, last = requests.agg(F.min("fetch_offset"), F.max(reach)).first()
+    return scan(log, first or 0, last or 0)
+
+
+def replica_fetch(requests: DataFrame, log: DataFrame, partitions: DataFrame, local_id: int, max_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """What followers get from broker ``local_id``: (responses, records).
+
+    ``requests`` (topic, partition, replica_id, fetch_offset), ``partitions`` (topic, partition, leader, leo). Responses carry error_code: 4 for
+    what does not exist, 5 where another broker leads, else 0; and follower_leo: behind the last record they give, or the wanted offset.
+    Records come up to the end of the log, whatever is visible to consumers. A budget of 0 or less is one MiB.
+    """
+    budget = max_bytes if max_bytes > 0 else 1 << 20
+    known = requests.join(partitions.select(*KEYS, "leader", "leo"), KEYS, "left")
+    code = F.when(F.col("leader").isNull(), ERRORS["unknown_topic_or_partition"]).when(F.col("leader") != local_id, ERRORS["not_leader_for_partition"]).otherwise(0)
+    answered = known.select(*requests.columns, "leo", code.cast("int").alias("error_code"))
+    open_ = answered.where("error_code = 0").select(*KEYS, "replica_id", "fetch_offset")
+    rows = _wanted(requests.withColumn("max_bytes", F.lit(budget)), log).join(open_, KEYS).where("offset >= fetch_offset")
+    found = budget_prefix(rows, F.lit(budget), [*KEYS, "replica_id", "fetch_offset"])
+    ends = found.groupBy(*KEYS, "replica_id", "fetch_offset").agg((F.max("offset") + 1).alias("__end"))
+    joined = answered.join(ends, [*KEYS, "replica_id", "fetch_offset"], "left")
+    return joined.select(*requests.columns, "error_code", F.when(F.col("error_code") == 0, F.coalesce("__end", "fetch_offset")).alias("follower_leo")), found
+
+
+def after_replica_fetch(responses: DataFrame, replicas: DataFrame, partitions: DataFrame) -> DataFrame:
+    """What the leader knows after ``replica_fetch``: ``replicas`` (topic, partition, broker_id, leo) with the ends that the followers
+    reached and the leader's own; an end never falls."""
+    reached = responses.where("error_code = 0").select(*KEYS, F.col("replica_id").alias("broker_id"), F.col("follower_leo").alias("leo"))
+    own = partitions.select(*KEYS, F.col("leader").alias("broker_id"), "leo")
+    return replicas.select(*KEYS, "broker_id", "leo").unionByName(reached).unionByName(own).groupBy(*KEYS, "broker_id").agg(F.max("leo").alias("leo"))
 
 
 def point_read(targets: DataFrame, log: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,8 +102,13 @@ def list_offsets(requests: DataFrame, partitions: DataFrame) -> DataFrame:
 
 def offset_for_timestamp(requests: DataFrame, log: DataFrame, partitions: DataFrame) -> DataFrame:
     """Extension: the first offset whose timestamp is at or after the wanted one, or the end."""
-    hits = log.join(requests, KEYS).where(log["timestamp"] >= requests["timestamp"]).groupBy(*KEYS, requests["timestamp"]).agg(F.min("offset").alias("hit"))
-    rows = requests.join(hits, [*KEYS, "timestamp"], "left").join(partitions.select(*KEYS, "leo"), KEYS, "left")
+    # as-of from above: the least offset among the timestamps from the wanted one on, in one ordered stream of both sides
+    left = requests.select(*KEYS, F.col("timestamp").cast("long").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__offset"), F.struct(*requests.columns).alias("__row"))
+    right = log.groupBy(*KEYS, F.col("timestamp").cast("long").alias("__at")).agg(F.min("offset").cast("long").alias("__offset"))
+    right = right.select(*KEYS, "__at", F.lit(0).alias("__side"), "__offset", F.lit(None).cast(left.schema["__row"].dataType).alias("__row"))
+    after = W.Window.partitionBy(*KEYS).orderBy(F.col("__at").desc(), "__side").rowsBetween(W.Window.unboundedPreceding, 0)
+    hits = left.union(right).withColumn("hit", F.min("__offset").over(after)).where("__side = 1").select("__row.*", "hit")
+    rows = hits.join(partitions.select(*KEYS, "leo"), KEYS, "left")
     return rows.select(*requests.columns, F.coalesce("hit", "leo", F.lit(-1)).cast("long").alias("offset"))
 
 

@@ -110,6 +110,14 @@ def bounds(found: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS).agg(F.min("base_offset").alias("log_start"), F.max("next_offset").alias("leo"), F.count("*").alias("segments"), F.sum("size_bytes").alias("size_bytes"))
 
 
+def counters(laid: DataFrame) -> DataFrame:
+    """records, segments, index_entries and bytes of each partition of a ``layout``."""
+    return laid.groupBy(*KEYS).agg(
+        F.count("*").alias("records"), F.count(F.when(F.col("offset") == F.col("segment_base"), 1)).alias("segments"),
+        F.count(F.when(F.col("indexed"), 1)).alias("index_entries"), F.sum("encoded_size").cast("long").alias("bytes"),
+    )
+
+
 def retain_by_bytes(found: DataFrame, limit: Column) -> DataFrame:
     """Segments that stay when the oldest go until ``limit`` bytes are left; the active one always stays; a limit <= 0 keeps all."""
     after = W.Window.partitionBy(*KEYS).orderBy("base_offset").rowsBetween(0, W.Window.unboundedFollowing)

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .catalog import validate_produce
 from .log import KEYS, assign_offsets, with_sizes
+from .prefix import running
 
 
 def with_timestamps(records: DataFrame, now_ms: Column) -> DataFrame:
@@ -72,6 +74,29 @@ def batch_fill(batches: DataFrame, batch_bytes: int, size: str = "encoded_size")
     return found.withColumn("fill", F.col("bytes") / batch_bytes)
 
 
+def mean_fill(filled: DataFrame) -> DataFrame:
+    """mean_fill over ``batch_fill``'s rows, and their number; 0 if there are none."""
+    return filled.agg(F.coalesce(F.avg("fill"), F.lit(0.0)).alias("mean_fill"), F.count("*").alias("batches"))
+
+
+def produce(requests: DataFrame, records: DataFrame, topics: DataFrame, partitions: DataFrame, local_id: int, order: list, now_ms: Column, **limits) -> tuple[DataFrame, DataFrame]:
+    """Produce requests as a broker serves them: (responses, appended records).
+
+    ``requests`` (id, topic, partition, acks, set_bytes, decodable), ``records`` (id, place, ...) the contents of their record sets, ``partitions``
+    (topic, partition, leader, isr, leo). Requests go through ``validate_produce`` (``limits`` are its own) one by one in ``order``; what
+    passes is appended. A response has error_code, base_offset (the first record's, 0 if there is none) and log_append_time (0 if nothing
+    was appended); records get offset = base_offset + place.
+    """
+    coded = validate_produce(requests, topics, partitions, local_id, **limits)
+    sizes = records.groupBy("id").agg(F.count("*").alias("__n"))
+    accepted = coded.join(sizes, "id", "left").withColumn("__n", F.when(F.col("error_code") == 0, F.coalesce("__n", F.lit(0))).otherwise(0))
+    placed = running(accepted, KEYS, order, {"__before": (F.col("__n"), False)}).join(partitions.select(*KEYS, F.col("leo").alias("__leo")), KEYS, "left")
+    base = F.when(F.col("__n") > 0, F.coalesce("__leo", F.lit(0)) + F.col("__before")).otherwise(0).cast("long")
+    answers = placed.select(*requests.columns, "error_code", base.alias("base_offset"), F.when(F.col("__n") > 0, now_ms).otherwise(0).cast("long").alias("log_append_time"))
+    taken = answers.where("error_code = 0").select("id", *KEYS, "base_offset")
+    return answers, records.join(taken, "id").withColumn("offset", F.col("base_offset") + F.col("place")).drop("base_offset")
+
+
 class StoredLog:
     """A log in Parquet files by topic and partition, sorted by offset, so that offset filters skip row groups.
 

@@ -14,6 +14,23 @@ def after_warm_up(samples: DataFrame, keys: list[str], order: list) -> DataFrame
     return rows.where(F.col("__n") > F.greatest(F.lit(1), F.floor(F.col("__all") / 10))).drop("__n", "__all")
 
 
+def limit_polls(polls: DataFrame, keys: list[str], order: list, seeded: Column, samples: int = 100, attempts: int = 2_000, empty: int = 5) -> DataFrame:
+    """The polls (n_messages, in ``order``) that a consumer benchmark makes before it stops, without the empty ones.
+
+    It stops with ``samples`` polls that gave messages, after ``attempts`` of any kind, or with the ``empty``-th empty one in a row since all
+    ``seeded`` messages were read. Empty polls before that are passed over. A run is bounded by ``attempts``.
+    """
+    window = W.Window.partitionBy(*keys).orderBy(*order)
+    so_far = window.rowsBetween(W.Window.unboundedPreceding, 0)
+    got = F.col("n_messages") > 0
+    rows = polls.withColumn("__try", F.row_number().over(window)).where(F.col("__try") <= attempts)
+    rows = rows.withColumns({"__hits": F.sum(got.cast("int")).over(so_far), "__read": F.sum("n_messages").over(so_far)})
+    # empty polls since the last one that gave messages, once everything was read
+    idle = F.sum((~got & (F.col("__read") >= seeded)).cast("int")).over(W.Window.partitionBy(*keys, "__hits").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__idle", idle).withColumn("__over", F.max((F.col("__idle") >= empty).cast("int")).over(so_far))
+    return rows.where(got & (F.col("__hits") <= samples) & (F.col("__over") == 0)).drop("__try", "__hits", "__read", "__idle", "__over")
+
+
 def percentiles(samples: DataFrame, keys: list[str], value: str, wanted: dict[str, int]) -> DataFrame:
     """Nearest-rank percentiles: the value at index floor(n * p / 100), from 0, at most n - 1, and the maximum.
 
