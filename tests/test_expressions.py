@@ -72,7 +72,7 @@ def test_topic_names(spark, name, ok):
 
 
 def test_small_expressions(spark):
-    assert one(spark, R.segment_file_name(F.lit(42)), R.format_latency(F.lit(12)), R.format_latency(F.lit(2500))) == ("0" * 18 + "42.log", "12.0 us", "2.50 ms")
+    assert one(spark, R.segment_file_name(F.lit(42)), R.format_latency(F.lit(12)), R.format_latency(F.lit(2500.25)), R.format_median_latency(F.lit(0.0001))) == ("0" * 18 + "42.log", "12", "2500.250", "0.000 [*]")
 
 
 def test_index_sizes_and_config():

@@ -66,5 +66,11 @@ def static_leader(replicas: Column, partition: Column) -> Column:
 
 
 def format_latency(us: Column) -> Column:
-    """Microseconds with one decimal and their unit, whole milliseconds from 1000 on."""
-    return F.when(us >= 1000, F.format_string("%.2f ms", us / 1000)).otherwise(F.format_string("%.1f us", us.cast("double")))
+    """Microseconds as a report shows them: whole numbers from 1 on without decimals, others with three."""
+    return F.when((us == F.floor(us)) & (us >= 1), F.format_string("%.0f", us.cast("double"))).otherwise(F.format_string("%.3f", us.cast("double")))
+
+
+def format_median_latency(us: Column) -> Column:
+    """``format_latency``, marked where what is shown is zero: below the clock's resolution."""
+    shown = format_latency(us)
+    return F.when(shown == "0.000", F.concat(shown, F.lit(" [*]"))).otherwise(shown)

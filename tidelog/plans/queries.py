@@ -219,20 +219,20 @@ def sparse_index(spark, sf):
 
 @query(sql(
     f"SELECT t.{Q}, t.base_offset, t.target AS relative_target, coalesce(i.pos, 0) AS position, coalesce(i.rel = t.target, false) AS exact "
-    f"FROM (SELECT {Q}, base AS base_offset, {O} - base AS target FROM walk WHERE ({O} - base) % 7 = 0) t "
+    f"FROM (SELECT {Q}, base AS base_offset, {O} - base AS target FROM walk) t "
     f"ASOF LEFT JOIN (SELECT {Q}, base, {O} - base AS rel, pos FROM walk WHERE mark) i ON i.{Q} = t.{Q} AND i.base = t.base_offset AND t.target >= i.rel",
     "log1", recursive=True, more=_BY_BYTES,
 ))
 def index_floor_lookup(spark, sf):
     laid = _laid(spark, sf)
-    targets = laid.select(*KEYS, F.col("segment_base").alias("base_offset"), (F.col("offset") - F.col("segment_base")).alias("relative_target")).where("relative_target % 7 = 0")
+    targets = laid.select(*KEYS, F.col("segment_base").alias("base_offset"), (F.col("offset") - F.col("segment_base")).alias("relative_target"))
     return L.index_lookup(targets, L.index_entries(laid)).drop("topic")
 
 
-@query(sql(f"SELECT t.{Q}, t.target, s.base_offset FROM (SELECT {Q}, {O} AS target FROM walk WHERE {O} % 13 = 0) t ASOF LEFT JOIN segs s ON s.{Q} = t.{Q} AND t.target >= s.base_offset", "log1", recursive=True, more=f"{_BY_BYTES}, {_SEGMENTS}"))
+@query(sql(f"SELECT t.{Q}, t.target, s.base_offset FROM (SELECT {Q}, {O} AS target FROM walk) t ASOF LEFT JOIN segs s ON s.{Q} = t.{Q} AND t.target >= s.base_offset", "log1", recursive=True, more=f"{_BY_BYTES}, {_SEGMENTS}"))
 def segment_floor_lookup(spark, sf):
     laid = _laid(spark, sf)
-    targets = laid.select(*KEYS, F.col("offset").alias("target")).where("target % 13 = 0")
+    targets = laid.select(*KEYS, F.col("offset").alias("target"))
     return L.segment_lookup(targets, L.segments(laid)).select("partition", "target", "base_offset")
 
 
@@ -425,7 +425,26 @@ def commands_of(events: DataFrame) -> DataFrame:
     )
 
 
-@query()
+_TIMEOUT = 4 * 3_600_000
+#: The machine as a recursive query: beats has the last heartbeat of members m0 ... m6, null for those that are not in the group.
+_MACHINE = f"""cmd AS MATERIALIZED (SELECT 'g' || (user_id % 5) AS group_id, event_id AS seq, epoch_us(ts) // 1000 AS now, event_type AS kind, CAST(user_id % 7 AS INTEGER) AS m, CAST(event_id % 40 AS INTEGER) AS gen, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS rn FROM events),
+fold AS (SELECT group_id, 0::BIGINT AS rn, 0::BIGINT AS seq, 0 AS code, false AS known, 'Empty' AS state, 0 AS generation, NULL::INTEGER AS leader, [NULL, NULL, NULL, NULL, NULL, NULL, NULL]::BIGINT[] AS beats FROM (SELECT DISTINCT group_id FROM cmd)
+UNION ALL
+SELECT group_id, rn, seq, code, known, CASE WHEN rebalance THEN 'PreparingRebalance' WHEN shrunk THEN 'Empty' WHEN kind = 'purchase' AND code = 0 AND m = leader THEN 'Stable' ELSE state END,
+  generation + CASE WHEN rebalance THEN 1 ELSE 0 END, CASE WHEN rebalance THEN least_member WHEN shrunk THEN NULL WHEN kind = 'signup' THEN coalesce(leader, m) ELSE leader END, beats
+FROM (SELECT *, CASE WHEN kind = 'signup' THEN state <> 'PreparingRebalance' ELSE shrunk AND n > 0 END AS rebalance
+FROM (SELECT *, len(list_filter(beats, lambda b : b IS NOT NULL)) AS n, list_position(list_transform(beats, lambda b : b IS NOT NULL), true) - 1 AS least_member,
+    CASE kind WHEN 'error' THEN code = 0 WHEN 'click' THEN len(list_filter(beats, lambda b : b IS NOT NULL)) < len(list_filter(old, lambda b : b IS NOT NULL)) ELSE false END AS shrunk
+FROM (SELECT *, CASE WHEN kind = 'click' THEN list_transform(old, lambda b : CASE WHEN now - b <= {_TIMEOUT} THEN b END)
+    WHEN kind = 'signup' OR (code = 0 AND kind IN ('purchase', 'view')) THEN list_transform(range(7), lambda i : CASE WHEN i = m THEN now ELSE old[CAST(i + 1 AS BIGINT)] END)
+    WHEN kind = 'error' AND code = 0 THEN list_transform(range(7), lambda i : CASE WHEN i <> m THEN old[CAST(i + 1 AS BIGINT)] END) ELSE old END AS beats
+FROM (SELECT f.group_id, c.rn, c.seq, c.now, c.kind, c.m, f.state, f.generation, f.leader, f.beats AS old, f.known OR c.kind = 'signup' AS known,
+    CASE WHEN c.kind IN ('signup', 'click') THEN 0 WHEN NOT f.known THEN 9 WHEN c.kind <> 'error' AND c.gen <> f.generation THEN 11 WHEN f.beats[c.m + 1] IS NULL THEN 9 WHEN c.kind = 'view' AND f.state = 'PreparingRebalance' THEN 10 ELSE 0 END AS code
+  FROM fold f JOIN cmd c ON c.group_id = f.group_id AND c.rn = f.rn + 1)))))"""
+GROUP_STATES = f"WITH RECURSIVE {_MACHINE} SELECT group_id, seq, code AS error_code, state, generation, 'm' || leader AS leader_id, CAST(len(list_filter(beats, lambda b : b IS NOT NULL)) AS INTEGER) AS members FROM fold WHERE rn > 0"
+
+
+@query(GROUP_STATES)
 def group_state_fold(spark, sf):
     return groups.fold_commands(commands_of(derive.table(spark, sf, "events")))
 
@@ -468,11 +487,11 @@ def hw_history(spark, sf):
 
 @query(sql(f"""SELECT p.topic, p.{Q}, p.id, p.required_hw, CASE WHEN p.required_hw <= 0 THEN NULL WHEN f.first <= p.deadline_ms THEN f.first ELSE p.deadline_ms END AS done_at,
   CAST(CASE WHEN p.required_hw <= 0 OR coalesce(f.first <= p.deadline_ms, false) THEN 0 ELSE 6 END AS INTEGER) AS error_code
-FROM pending p LEFT JOIN (SELECT p.id, p.{Q}, min(h.ts) AS first FROM pending p JOIN history h ON h.{Q} = p.{Q} AND h.hw >= p.required_hw GROUP BY ALL) f ON f.id = p.id AND f.{Q} = p.{Q}""",
-    "reports", more=f"{_HISTORY}, pending AS (SELECT topic, {Q}, seq AS id, CAST(seq // 3 AS BIGINT) AS required_hw, ts + {DAY_MS} AS deadline_ms FROM reports WHERE seq % 50 = 0)"))
+FROM pending p ASOF LEFT JOIN (SELECT {Q}, hw, min(ts) AS first FROM history GROUP BY ALL) f ON f.{Q} = p.{Q} AND p.required_hw <= f.hw""",
+    "reports", more=f"{_HISTORY}, pending AS (SELECT topic, {Q}, seq AS id, CAST(seq // 3 AS BIGINT) AS required_hw, ts + {DAY_MS} AS deadline_ms FROM reports)"))
 def purgatory_completion(spark, sf):
     events = derive.replica_events(spark, sf)
-    pending = events.where("seq % 50 = 0").select(*KEYS, F.col("seq").alias("id"), F.floor(F.col("seq") / 3).cast("long").alias("required_hw"), (F.col("ts") + DAY_MS).alias("deadline_ms"))
+    pending = events.select(*KEYS, F.col("seq").alias("id"), F.floor(F.col("seq") / 3).cast("long").alias("required_hw"), (F.col("ts") + DAY_MS).alias("deadline_ms"))
     return replication.complete_pending(pending, replication.watermark_history(events, [1, 2, 3])).select(*KEYS, "id", "required_hw", "done_at", "error_code")
 
 

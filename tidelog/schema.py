@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 RECORD = "topic string, partition int, offset long, timestamp long, attributes byte, key binary, value binary"
@@ -121,6 +122,32 @@ class Config:
             raise ValueError("request_timeout_ms must be positive")
         return self
 
+    @classmethod
+    def from_text(cls, text: str) -> Config:
+        """From the text of a settings file: sections, and in them ``name: value`` lines, as YAML writes two levels of plain values."""
+        values: dict = {}
+        section: dict = {}
+        for line in text.splitlines():
+            line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+            if not line:
+                continue
+            name, colon, value = (x.strip() for x in line.partition(":"))
+            if not colon:
+                raise ValueError(f"no setting: {line!r}")
+            if not line[0].isspace():
+                section = values.setdefault(name, {})
+                if value:
+                    raise ValueError(f"a section has no value of its own: {line!r}")
+            else:
+                value = value.strip("\"'")
+                section[name] = {"true": True, "false": False}.get(value, int(value) if re.fullmatch(r"-?[0-9]+", value) else value)
+        return cls.from_dict({k: v for k, v in values.items() if k in cls.__dataclass_fields__})
+
+    @classmethod
+    def load(cls, spark, path: str) -> Config:
+        """From a settings file on any store that Spark reaches."""
+        return cls.from_text(spark.read.option("wholetext", True).text(path).first()[0])
+
     @classmethod
     def from_dict(cls, values: dict) -> Config:
         """From nested settings, as a YAML or JSON file gives them; zero and empty settings mean the default."""

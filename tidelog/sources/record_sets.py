@@ -50,9 +50,9 @@ def decode_sets(sets: DataFrame, blob: str = "record_set", keys: list[str] | Non
         for b in batches:
             taken, rows = [], []
             for i, x in enumerate(b.column(len(keys))):
-                for place, fields in enumerate(decode_fields(x.as_py() or b"", lenient)):
+                for place, found in enumerate(decode_fields(x.as_py() or b"", lenient)):
                     taken.append(i)
-                    rows.append((place, *fields))
+                    rows.append((place, *found))
             own = [b.column(k).take(pa.array(taken, pa.int64())) for k in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, fields))], [*keys, *names])
 

@@ -1,9 +1,11 @@
 """A Spark data source over segment files: ``{root}/{topic}-{partition}/{base offset, 20 digits}.log`` and ``.index``.
 
 Reading: a task for each segment. Filters on topic, partition and offset skip whole segments (a segment ends where the
-next begins) and, with the sparse index, bytes before the wanted offset. Streaming: offsets are the next offset of each
-partition; a micro-batch reads up to what was the end. Writing: rows sorted by topic, partition and offset; files appear
-under their names only when the whole job commits.
+next begins) and, with the sparse index, bytes before the wanted offset: the file is read from there on. Rows go to Spark in Arrow
+batches. Streaming: offsets are the next offset of each partition; a micro-batch reads up to what was the end. To find the ends the
+driver reads each active segment behind its last index entry only. Writing: rows sorted by topic, partition and offset; a segment is
+closed before the record that finds it full, its index full or, with a limit, too old; files appear under their names only when the whole
+job commits.
 
 Files are reached through pyarrow's file systems, so the root may be a local path or an URI that they know.
 """
@@ -16,15 +18,19 @@ import struct
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..functions.codec import CodecError, Record, decode_record, encode_record
-from ..schema import RECORD
+from ..functions.codec import CodecError, Record, encode_record, record_fields
+from ..schema import INDEX_ENTRY_BYTES, RECORD, index_max_bytes
 
 NAME = "tidelog"
 _FOLDER = re.compile(r"^(.+)-(\d+)$")
 _FILE = re.compile(r"^(\d{20})\.log$")
+#: Rows and bytes of an Arrow batch, about; bytes that are read from a file at a time.
+_ROWS, _BYTES, _CHUNK = 10_000, 4 << 20, 8 << 20
+_ARROW = pa.schema([("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64()), ("timestamp", pa.int64()), ("attributes", pa.int8()), ("key", pa.binary()), ("value", pa.binary())])
 
 
 def _filesystem(root: str):
@@ -71,6 +77,13 @@ def _read(root: str, path: str) -> bytes:
         return f.read()
 
 
+def _index(root: str, s: Segment) -> bytes:
+    try:
+        return _read(root, s.path.removesuffix(".log") + ".index")
+    except FileNotFoundError:
+        return b""
+
+
 def floor_position(index: bytes, relative: int) -> int:
     """Position of the greatest indexed offset <= ``relative``; 0 if there is none. Trailing zero entries are no entries."""
     n = len(index) // 8
@@ -88,30 +101,62 @@ def floor_position(index: bytes, relative: int) -> int:
 
 
 def read_segment(root: str, s: Segment, first: int = 0, before: int | None = None):
-    """Records of a segment from offset ``first`` on. An active segment ends at its first invalid record, as recovery would
-    cut it there; in a closed one that is an error."""
-    data = _read(root, s.path)
-    at = 0
-    if first > s.base:
-        try:
-            at = floor_position(_read(root, s.path.removesuffix(".log") + ".index"), first - s.base)
-        except FileNotFoundError:
-            at = 0
-    while at < len(data):
-        try:
-            record, at = decode_record(data, at)
-        except CodecError:
-            if s.next_base is None:
+    """offset, timestamp, attributes, key, value of a segment's records from offset ``first`` on: those before its floor in the index are not
+    read. An active segment ends at its first invalid record, as recovery would cut it there; in a closed one that is an error."""
+    start = floor_position(_index(root, s), first - s.base) if first > s.base else 0
+    system, _ = _filesystem(root)
+    with system.open_input_file(s.path) as f:
+        f.seek(start)
+        data, at, more = f.read(_CHUNK), 0, True
+        while at < len(data) or more:
+            try:
+                if more and len(data) - at < _CHUNK // 2:
+                    piece = f.read(_CHUNK)
+                    more = bool(piece)
+                    data, at = data[at:] + piece, 0
+                    continue
+                *fields, at = record_fields(data, at)
+            except CodecError:
+                if s.next_base is None:
+                    return
+                raise
+            if before is not None and fields[0] >= before:
                 return
-            raise
-        if before is not None and record.offset >= before:
-            return
-        if record.offset >= first:
-            yield record
+            if fields[0] >= first:
+                yield fields
 
 
-def _row(s: Segment, r: Record) -> tuple:
-    return s.topic, s.partition, r.offset, r.timestamp, r.attributes, r.key, r.value
+def segment_end(root: str, s: Segment) -> int:
+    """The offset after the last record of an active segment, found behind its last index entry."""
+    start = floor_position(_index(root, s), 1 << 32)
+    system, _ = _filesystem(root)
+    with system.open_input_file(s.path) as f:
+        f.seek(start)
+        data, at, last = f.read(), 0, s.base - 1
+    try:
+        while at < len(data):
+            last, *_, at = record_fields(data, at)
+    except CodecError:
+        pass  # a torn end
+    return last + 1
+
+
+def _batches(s: Segment, rows):
+    """``read_segment``'s rows as Arrow batches."""
+    held, size = [], 0
+
+    def batch():
+        columns = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array([s.topic] * len(held), pa.string()), pa.array([s.partition] * len(held), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_ARROW)[2:]))], schema=_ARROW)
+
+    for r in rows:
+        held.append(r)
+        size += len(r[3] or b"") + len(r[4] or b"")
+        if len(held) >= _ROWS or size >= _BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 class _Part(InputPartition):
@@ -158,8 +203,7 @@ class SegmentReader(DataSourceReader):
 
     def read(self, part: _Part):
         if part.segment.path:
-            for r in read_segment(self.root, part.segment, part.first, part.before):
-                yield _row(part.segment, r)
+            yield from _batches(part.segment, read_segment(self.root, part.segment, part.first, part.before))
 
 
 class SegmentStreamReader(DataSourceStreamReader):
@@ -167,16 +211,9 @@ class SegmentStreamReader(DataSourceStreamReader):
         self.root, self.latest, self.visible = root, options.get("startingoffsets") == "latest", options.get("highwatermarks")
 
     def _ends(self) -> dict[str, int]:
-        ends = {}
-        for s in list_segments(self.root):
-            if s.next_base is None:
-                last = None
-                for r in read_segment(self.root, s):
-                    last = r.offset
-                ends[f"{s.topic}-{s.partition}"] = s.base if last is None else last + 1
+        ends = {f"{s.topic}-{s.partition}": segment_end(self.root, s) for s in list_segments(self.root) if s.next_base is None}
         if self.visible:
-            with open(self.visible) as f:
-                marks = json.load(f)
+            marks = json.loads(_read(self.visible, _filesystem(self.visible)[1]))
             ends = {k: min(v, marks.get(k, v)) for k, v in ends.items()}
         return ends
 
@@ -195,8 +232,7 @@ class SegmentStreamReader(DataSourceStreamReader):
 
     def read(self, part: _Part):
         if part.segment.path:
-            for r in read_segment(self.root, part.segment, part.first, part.before):
-                yield _row(part.segment, r)
+            yield from _batches(part.segment, read_segment(self.root, part.segment, part.first, part.before))
 
     def commit(self, end):
         pass
@@ -212,11 +248,13 @@ class SegmentWriter(DataSourceWriter):
         self.root, self.overwrite = root, overwrite
         self.segment_bytes = int(options.get("segmentbytes", 128 << 20))
         self.interval = int(options.get("indexintervalbytes", 4096))
+        self.entries = int(options.get("indexmaxbytes", index_max_bytes(self.segment_bytes, self.interval))) // INDEX_ENTRY_BYTES
+        self.max_age = int(options.get("segmentms", 0))
 
     def write(self, rows):
         system, path = _filesystem(self.root)
         files, tag = [], uuid.uuid4().hex
-        here, log, index, size, since, base = None, [], [], 0, 0, 0
+        here, log, index, size, since, base, born = None, [], [], 0, 0, 0, 0
 
         def close():
             if log:
@@ -230,9 +268,10 @@ class SegmentWriter(DataSourceWriter):
 
         for row in rows:
             r = Record(row["offset"], row["timestamp"], *(None if row[k] is None else bytes(row[k]) for k in ("key", "value")), row["attributes"] or 0)
-            if here != (row["topic"], row["partition"]) or size >= self.segment_bytes:
+            old = self.max_age > 0 and size and r.timestamp - born >= self.max_age
+            if here != (row["topic"], row["partition"]) or size >= self.segment_bytes or len(index) >= self.entries or old:
                 close()
-                here, base, log, index, size, since = (row["topic"], row["partition"]), r.offset, [], [], 0, 0
+                here, base, log, index, size, since, born = (row["topic"], row["partition"]), r.offset, [], [], 0, 0, r.timestamp
             data = encode_record(r)
             since += len(data)
             if not index or since >= self.interval:
@@ -289,8 +328,9 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("decode_record_set_lenient", DecodeRecordSetLenient)
 
 
-def write_segments(log: DataFrame, root: str, segment_bytes: int = 128 << 20, interval: int = 4096, mode: str = "append") -> None:
-    """``log`` (RECORD columns) as segment files."""
+def write_segments(log: DataFrame, root: str, segment_bytes: int = 128 << 20, interval: int = 4096, mode: str = "append", segment_ms: int = 0, index_bytes: int | None = None) -> None:
+    """``log`` (RECORD columns) as segment files, rolled as ``layout`` rolls them; the age of a segment is taken from its records' times."""
     register(log.sparkSession)
     rows = log.select("topic", "partition", "offset", "timestamp", "attributes", "key", "value").repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
-    rows.write.format(NAME).mode(mode).option("segmentBytes", segment_bytes).option("indexIntervalBytes", interval).save(root)
+    writer = rows.write.format(NAME).mode(mode).option("segmentBytes", segment_bytes).option("indexIntervalBytes", interval).option("segmentMs", segment_ms)
+    (writer if index_bytes is None else writer.option("indexMaxBytes", index_bytes)).save(root)

@@ -9,8 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def workspace(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, under a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A new path under spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster, whose machines share
+    no such folder, that is an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/tidelog/{tag}-{uuid.uuid4().hex}"
 
 
