@@ -116,6 +116,37 @@ def test_language_model_is_a_distribution():
         assert 0.9 < sum(p) < 1.02  # the rest is for letters that were not seen
 
 
+def test_kneser_ney_by_brute_force():
+    """Counts, continuation counts, discounts and back-off, worked out with dictionaries."""
+    rows, _, _ = _languages()
+    texts = {k: [langid.letters(x[1]) for x in rows if x[2] == k][:25] for k in ("aa", "bb")}
+    model = langid.LanguageModel(texts, 3)
+    letters_seen = {int(c) for ts in texts.values() for t in ts for c in t}
+
+    def probability(lang, history, c):
+        ts = [t.tolist() for t in texts[lang]]
+        grams = {k: [tuple(t[i : i + k]) for t in ts for i in range(len(t) - k + 1)] for k in (1, 2, 3)}
+        weight = {3: collections.Counter(grams[3]), **{k: collections.Counter(g[1:] for g in set(grams[k + 1])) for k in (1, 2)}}
+
+        def p(h):
+            k = len(h) + 1
+            lower = p(h[1:]) if h else 1 / (len(letters_seen) + 1)
+            after = {g[-1]: n for g, n in weight[k].items() if g[:-1] == h}
+            if not after:
+                return lower
+            total = sum(after.values())
+            return max(after.get(c, 0) - 0.75, 0) / total + 0.75 * len(after) / total * lower
+
+        return p(tuple(history))
+
+    for j, lang in enumerate(model.languages):
+        for t in ("kalo mi", "ver ungkeit", "zq ka"):
+            c = langid.letters(t)
+            got = model.each(c)[:, j]
+            for i in range(2, len(c)):
+                assert got[i - 1] == pytest.approx(math.log(probability(lang, c[i - 2 : i].tolist(), int(c[i]))), rel=1e-4), (lang, t, i)
+
+
 def test_long_texts_score_alike_in_pieces(monkeypatch):
     rows, _, make = _languages()
     model = langid.LanguageModel({k: [langid.letters(x[1]) for x in rows if x[2] == k] for k in ("aa", "bb")})
@@ -564,6 +595,38 @@ def test_spotsigs_search(spark):
     assert got == want and len(want) > 20
 
 
+def test_near_edited_and_next_by_brute_force(spark):
+    """Likeness of the signature sets, as another reading of the rule makes them."""
+
+    def chains(t):
+        w = [x.strip(".,;:!?\"'()[]|#$%&<>*") for x in re.sub("[A-Z]+", lambda m: m[0].lower(), t).split()]
+        w = [x for x in w if x]
+        stop = {x.decode() for x in spotsigs.ANCHORS}
+        out, run = set(), 0
+        for i, x in enumerate(w):
+            run = 0 if x in stop else run + 1
+            after = [y for y in w[i + 1 :] if y not in stop][:2]
+            if (x in stop or run > 12) and len(after) == 2:
+                out.add((x, *after))
+        return out or {("\n", *w)}
+
+    r = random.Random(4)
+    make = lambda: " ".join(r.choice(["the", "of", "is", "la", "und"] + [f"w{k}" for k in range(8)] * 2) + r.choice(["", "", ","]) for _ in range(r.randint(0, 120)))
+    rows = [(i, make()) for i in range(60)] + [(60, "x " * 40), (61, ""), (62, "w1 w2")]
+    got = {x.id: x for x in spotsigs.compare_with_edits(table(spark, rows)).collect()}
+    like = lambda a, b: len(a & b) / len(a | b)
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]]):
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[i].near_edited == pytest.approx(like(chains(t), chains(edited))) and got[i].near_next == pytest.approx(like(chains(t), chains(after)))
+        assert (got[i].fingerprint == got[i].edited_fingerprint) == (chains(t) == chains(edited)) and len(got[i].fingerprint) == 8 * len(chains(t))
+
+
+def test_spotsigs_memberships(spark):
+    rows = [(5, "the a b of c d"), (3, "The A, b of c d"), (9, "the x y"), (None, "the x y"), (None, "of q r s")]
+    got = collections.Counter(tuple(r) for r in spotsigs.memberships(spotsigs.fingerprints(table(spark, rows))).collect())
+    assert got == {(5, 3): 1, (3, 3): 1, (9, 9): 1, (None, 9): 1, (None, 2**63 - 1): 1}
+
+
 # --- segmentation
 
 

@@ -86,6 +86,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, "id long, size int, sigs array<long>")
 
 
+def memberships(prints: DataFrame) -> DataFrame:
+    """(id, key) for each row of ``fingerprints``: key is the representative of its signature set, the smallest id with an equal one."""
+    sets = prints.groupBy("sigs").agg(F.min(id_key("id")).alias("key"))
+    return prints.join(sets, "sigs").select("id", "key")
+
+
 def length_edges(threshold: float, upto: int) -> list[int]:
     """Lower bounds of set-length partitions such that sets alike to ``threshold`` are in one or in neighbours."""
     edges, at = [1], 1
@@ -100,8 +106,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     Equal sets are folded to their smallest id first. Sets are then partitioned by length; each row stands in its own
     partition and in the one above. Inside a partition the sets meet by prefix: of sets alike to ``threshold``, the rarest
-    ``size - ceil(threshold * size) + 1`` signatures share one, so only rows that do are compared. Rows with null ids count as
-    one document after all others. Empty tables give empty results.
+    ``size - ceil(threshold * size) + 1`` signatures share one, so only rows that do are compared. ``memberships`` says whom a
+    representative stands for. Rows with null ids count as one document after all others. Empty tables give empty results.
     """
     each = fingerprints(docs, id_col, text_col, chain)
     sets = materialize(each.groupBy("sigs", "size").agg(F.min(id_key("id")).alias("key")), "sets")
@@ -130,6 +136,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 500, most_buckets: int = 4_096) -> DataFrame:
     """(bucket, ahead, key, id, t): the documents dealt by ranges of the id, with the head of each range's successor.
 
+    There are ``most_buckets`` at most; a larger one is sorted with spills and streams through its task, which holds two texts.
     Within a bucket, ordered by (ahead, key, t), each row but those marked ``ahead`` is followed by the next document; the
     last bucket is followed by the first document of all. Ids are dealt by quantiles of their column alone; only one
     text for each bucket is sent twice.
