@@ -312,22 +312,64 @@ def test_similar_pairs_in_a_template_family(spark, monkeypatch, views, shard):
 
 
 @pytest.mark.parametrize("block", [4096, 16])
-def test_missing_links_are_all_pairs(spark, monkeypatch, block):
-    """Without any help of the views, whatever the order of the shingles, and where lists are dealt to blocks."""
+@pytest.mark.parametrize("largest", [6, 1])
+def test_missing_links_are_all_pairs(spark, monkeypatch, block, largest):
+    """Without any help of the views, and where lists are dealt to blocks: also if most nodes of a list are of one class."""
     monkeypatch.setattr(similar, "LIST", block)
+    monkeypatch.setattr(similar, "_ONE_IN", 2)
     r = np.random.default_rng(9)
     base = r.integers(0, 2**63, (6, 60)).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[k % 6][r.random(60) < 0.95], r.integers(0, 2**63, int(r.integers(0, 9))).astype(np.uint64)])) for k in range(240)]
-    root = [k if k % 4 else k % 6 for k in range(240)]
-    common = np.sort(base.ravel())
-    for order in ((common, r.integers(2, 100, len(common))), (common, np.full(len(common), 9)), (common[:0], np.empty(0, np.int64))):
-        if block < 4096 and not len(order[0]):
-            continue
-        rows = [(k, root[k], len(h), similar.rare_first(h, order, 0.8).view(np.int64).tolist()) for k, h in enumerate(sets)]
-        found = {tuple(x) for x in similar.missing_links(spark.createDataFrame(rows, "node long, root long, n int, p array<long>"), order, 0.8).collect()}
-        jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        want = {(i, j) for j in range(240) for i in range(j) if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8}
-        assert want <= found and len(want) > 1000 and all(root[i] != root[j] and i < j for i, j in found)
+    sets = [np.unique(np.concatenate([base[k % largest][r.random(60) < 0.95], r.integers(0, 2**63, int(r.integers(0, 9))).astype(np.uint64)])) for k in range(240)]
+    root = [k if k % 4 else k % largest for k in range(240)]
+    rows = spark.createDataFrame([(k, root[k], len(h), similar.band_keys(h).view(np.int64).tolist(), bytearray(similar.parities(h))) for k, h in enumerate(sets)], "node long, root long, n int, p array<long>, m binary")
+    if block < 4096:
+        t, _, main, rest = similar._long_lists(rows)
+        assert len(t) > 20 and main.max() > 1 and rest.max() > 1
+    found = {tuple(x) for x in similar.missing_links(rows, 0.8).collect()}
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(i, j) for j in range(240) for i in range(j) if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8}
+    assert want <= found and len(want) > 1000 and all(root[i] != root[j] and i < j for i, j in found)
+
+
+def test_a_list_of_one_class_is_not_compared():
+    """However long a list is: its largest class meets the others only, and is sent once for each block of these."""
+    token, node = np.full(1000, 7, np.int64), np.arange(1000)
+    lists = (np.array([7]), np.array([3]), np.array([10]), np.array([0]))
+    assert [len(i) for i, _, _ in similar._groups(token, node, np.full(1000, 3, np.int64), lists)] == [0]
+    root = np.where(node < 20, node + 10, 3)
+    rows = list(similar._groups(token, node, root, (np.array([7]), np.array([3]), np.array([10]), np.array([2]))))
+    i, group, label = (np.concatenate(x) for x in zip(*rows))
+    assert len(i) == 980 * 2 + 20 * (10 + 2)
+    assert similar.of_several_roots(group.view(np.int64), label).all()
+    u, v = similar.list_pairs(group.view(np.int64), node[i], label, np.full(len(i), 5), np.zeros((len(i), 8), np.uint64), 0.8)
+    assert set(zip(u.tolist(), v.tolist())) == {(a, b) for a in range(20) for b in range(a + 1, 1000)}
+
+
+def test_band_keys_agree_as_often_as_they_should():
+    """The share of equal keys at a coefficient j is j ** WIDTH; at 0.8 no pair of thousands is without one."""
+    r = np.random.default_rng(3)
+    for j, n in ((0.8, 90), (0.8, 9), (0.5, 60)):
+        shared = round(2 * n * j / (1 + j))
+        same = []
+        for _ in range(400):
+            h = r.integers(0, 2**64, 2 * n - shared, dtype=np.uint64)
+            same.append((similar.band_keys(h[:n]) == similar.band_keys(h[n - shared :])).mean())
+        true = shared / (2 * n - shared)
+        assert abs(np.mean(same) - true**similar.WIDTH) < 0.02 and (j < 0.8 or min(same) > 0)
+    assert (1 - 0.8**similar.WIDTH) ** similar.BANDS < 1e-9
+
+
+@pytest.mark.parametrize("family", [1 << 20, 300])
+def test_links_are_checked_in_families(spark, monkeypatch, family):
+    monkeypatch.setattr(similar, "FAMILY", family)
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**62, (3, 50))
+    sets = {k: sorted({*base[k % 3][r.random(50) < 0.93].tolist(), *r.integers(0, 2**62, 3).tolist()}) for k in range(60)}
+    links = [(i, j) for j in range(60) for i in range(j) if (i + j) % 2]
+    got = similar.check_links(spark.createDataFrame(links, "u long, v long"), spark.createDataFrame(list(sets.items()), "node long, h array<long>"), 0.8).collect()
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(i, j) for i, j in links if like(sets[i], sets[j]) >= 0.8}
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 20
 
 
 def test_views_part_large_groups():

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def discard(*tables: DataFrame | str) -> None:
     """Delete tables made by ``materialize``, or folders of ``shared_path``, that nothing reads any more."""
     for df in tables:

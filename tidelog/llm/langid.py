@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id
+from .common import release, remainder_of_id
 
 #: Documents of each language that a model is fitted on, about.
 PER_LANGUAGE = 400
@@ -302,6 +302,7 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None, text_col: str =
                 for i, j, x, k in zip(rows, best.tolist(), e[np.arange(len(e)), best].tolist(), n.tolist()):
                     keep[s + i] = m.accepts(m.languages[j], x, k)
             yield b.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -7,9 +7,12 @@ copies over the borders as the triangle inequality bounds them, so that all sket
 meet. In a shard each sketch gives a link to the closest sketch, and to the closest of a smaller hash: two rows for
 each view, however dense the shard is. Links are then checked by the exact coefficient of the 5-word shingles.
 
-The views only join most of what is alike at a low price; they decide nothing. ``missing_links`` then finds every pair that they
-left in different classes: each text's shingles are put in one order, rare ones first, and two texts at the threshold share one
-among the first ``n - ceil(threshold * n) + 1`` of each, where enough shingles follow on both sides. So the classes are exact.
+The views only join most of what is alike at a low price; they decide nothing. ``missing_links`` then looks at every pair that they
+left in different classes: each text has ``BANDS`` keys, each of ``WIDTH`` minima of its shingles under hashes of their own, so that two
+texts at the threshold agree in one of them but for one pair in a billion, at any size of the table. All pairs of a key's list are
+compared; a list that would not fit a task is dealt to blocks, of which those of its largest class need not meet each other. What sketches
+leave possible is decided by the exact coefficient, in families of texts that may be alike, so that each text's shingles are sent
+about once, however many pairs it is in.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, from_key, hash_below, hash_sample, id_key, materialize, text_bytes
+from .common import discard, from_key, hash_sample, id_key, materialize, release, text_bytes
 from .components import components
 
 WORDS, FLIPS, RADIUS, MISS = 8, 0.094, 1, 0.002
@@ -31,10 +34,14 @@ _NEAR = 16
 #: Sketches that the trees are fitted on, at most, and those that a shard of a view should hold.
 SAMPLE, SHARD = 16_384, 65_536
 _CHUNK = 16_384
-#: Texts that the order of shingles is fitted on, and shingles whose counts are kept. Any order gives the same classes.
-_ORDER, COMMON = 8_192, 1 << 19
-#: Postings of a shingle that are compared in one piece; longer lists are dealt out as pairs of blocks. Postings of a task.
+#: Keys of a text, and minima in each: of pairs at a coefficient of 0.8, (1 - 0.8 ** 4) ** 40 = 7e-10 agree in none.
+BANDS, WIDTH = 40, 4
+#: Postings of a key that are compared in one piece; longer lists are dealt out as pairs of blocks. Postings of a task.
 LIST, POSTINGS = 4_096, 200_000
+#: One node in so many tells which lists are long; lists that the driver deals out, the longest first (a shorter one goes to one task).
+_ONE_IN, _LONG = 32, 1 << 20
+#: Shingles of a family that are checked in one piece.
+FAMILY = 1 << 20
 #: Rows and pairs that a worker holds at a time.
 _ROWS, _PAIRS = 1_024, 1 << 17
 #: Bits of the bitmap that texts are looked up in before they are shuffled, as a power of two: half a megabyte.
@@ -66,30 +73,21 @@ def sketch(h: np.ndarray) -> np.ndarray:
 _SKETCH = [f"s{k}" for k in range(WORDS)]
 
 
-def shingle_order(docs: DataFrame, text_col: str = "text", size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles that most texts of a bounded sample share, by hash: ``rare_first`` puts these last."""
+_SEEDS = np.random.default_rng(41).integers(0, 2**64, (2, BANDS * WIDTH), dtype=np.uint64) | np.uint64(1)
 
-    def run(batches):
-        for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingles(x.as_py().lower().split(), size)).view(np.int64))], ["h"])
-
-    text = text_bytes(text_col)
-    rows = docs.select(F.xxhash64(text).alias("rid"), text.alias("t"))
-    sample = rows.where(hash_below("rid", docs.count(), _ORDER)).dropDuplicates(["rid"]).select("t")
-    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
 
-
-def rare_first(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """The rarest of the distinct shingles ``h``: so many that two texts at the threshold have one in common among theirs."""
-    common, counts = order
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
-    return h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of the distinct shingles ``h``: each mixes the minima under ``WIDTH`` hashes; none for no shingles."""
+    if not len(h):
+        return np.empty(0, np.uint64)
+    low = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        x = (h[at : at + 1024] ^ _SEEDS[0][:, None]) * _SEEDS[1][:, None]
+        low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(1))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[5]
+    for column in low.reshape(BANDS, WIDTH).T:
+        out = _mix(out ^ column)
+    return out
 
 
 def parities(h: np.ndarray) -> bytes:
@@ -97,10 +95,9 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
 
 
-def sketches(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """(id, rid: hash of the text, node: hash of its words, n: its distinct shingles, p: the rarest of them, m: ``parities``,
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """(id, rid: hash of the text, node: hash of its words, n: its distinct shingles, p: their ``band_keys``, m: ``parities``,
     s0 ... s7) for each row; without words the sketch is zero and there are no shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         for b in batches:
@@ -112,10 +109,12 @@ def sketches(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], id_col: str
                 h = np.unique(_shingles(words, size))
                 n[i] = len(h)
                 m.append(parities(h))
-                first.append(rare_first(h, shared.value, threshold).view(np.int64))
+                first.append(band_keys(h).view(np.int64))
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             p = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
+            del first
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), p, pa.array(m, pa.binary()), *(pa.array(np.ascontiguousarray(s[:, k]).view(np.int64)) for k in range(WORDS))], ["id", "rid", "node", "n", "p", "m", *_SKETCH])
+        release()
 
     text = text_bytes(text_col)
     columns = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("rid"), text.alias("t")]
@@ -329,19 +328,18 @@ def _slices(batches):
     return (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
 
 
-def prefix_pairs(g: np.ndarray, node: np.ndarray, root: np.ndarray, pos: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (u, v), u < v, of nodes of different roots in one group ``g`` that can have the coefficient ``threshold``.
-
-    The first shingle that two texts share leaves them at most as many in common as follow it in either, itself included;
-    pairs for which that is too few at this shingle are not alike, or share an earlier one.
-    """
+def list_pairs(g: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (u, v), u < v, of nodes of different roots in one group ``g`` whose numbers of shingles ``n`` and ``parities`` ``m`` (a row of
+    words each) leave the coefficient possible."""
     order = np.lexsort((root, g))
-    g, node, root, pos, n = g[order], node[order], root[order], pos[order], n[order]
-    least = threshold / (1 + threshold)
+    g, node, root, n, m = g[order], node[order], root[order], n[order], m[order]
     found = [np.empty((2, 0), np.int64)]
+    most = (1 - threshold) / (1 + threshold)
 
     def pairs(i, j):
-        keep = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least * (n[i] + n[j]) - 1e-6
+        keep = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6
+        i, j = i[keep], j[keep]
+        keep = _apart(m[i], m[j]) <= most * (n[i] + n[j]) + 1e-6
         u, v = node[i[keep]], node[j[keep]]
         found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1))
 
@@ -359,59 +357,105 @@ def prefix_pairs(g: np.ndarray, node: np.ndarray, root: np.ndarray, pos: np.ndar
     return u, v
 
 
-def missing_links(rooted: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """``rooted`` (node, root, n, p) to links (u, v), distinct, u < v: among them are all pairs of different roots at the threshold.
+def _long_lists(rooted: DataFrame) -> tuple[np.ndarray, ...]:
+    """(key, root of its largest class, blocks of that class, blocks of all others) of the keys with more than ``LIST`` nodes, by key."""
+    one_in = rooted.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(_ONE_IN)) == 0).select(F.explode("p").alias("t"))
+    likely = one_in.groupBy("t").count().where(F.col("count") > LIST // (2 * _ONE_IN)).orderBy(F.desc("count")).limit(_LONG).toPandas()["t"]
+    shared = rooted.sparkSession.sparkContext.broadcast(np.sort(likely.to_numpy(np.int64)))
 
-    A shingle of many texts is left out where all have one root; otherwise its texts are dealt to blocks, and each pair of
-    blocks is a group of its own, so that no list has to fit one task.
-    """
-    context = rooted.sparkSession.sparkContext
-    common = context.broadcast(order[0])
-
-    def shared(batches):
+    def among(batches):
         for b in _slices(batches):
-            p, (row, _) = b.column(1).flatten(), _from_to(b.column(1).value_lengths().to_numpy().astype(np.int64))
-            t = p.to_numpy().view(np.uint64)
-            at = np.minimum(np.searchsorted(common.value, t), max(0, len(common.value) - 1))
-            keep = np.flatnonzero(common.value[at] == t) if len(common.value) else np.empty(0, np.int64)
+            (row, _), p = _from_to(b.column(1).value_lengths().to_numpy().astype(np.int64)), b.column(1).flatten()
+            keep = np.flatnonzero(_held(shared.value, p.to_numpy())[1]) if len(shared.value) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([p.take(pa.array(keep)), b.column(0).take(pa.array(row[keep]))], ["t", "root"])
 
-    lists = rooted.select("root", "p").mapInArrow(shared, "t long, root long").groupBy("t").agg(F.count("*").alias("n"), (F.min("root") == F.max("root")).alias("one"))
-    long = lists.where(F.col("n") > LIST).toPandas()
-    t = long["t"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(t)
-    blocks = np.where(long["one"].to_numpy(bool), 0, -(-long["n"].to_numpy(np.int64) // LIST))
-    dealt = context.broadcast((t[by], blocks[by]))
+    classes = rooted.select("root", "p").mapInArrow(among, "t long, root long").groupBy("t", "root").agg(F.count("*").alias("n"))
+    lists = classes.groupBy("t").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("root"))
+    found = (lists.where(F.col("all") > LIST).toPandas() if len(likely) else lists.limit(0).toPandas()).sort_values("t")
+    t, every, most, root = (found[c].to_numpy(np.int64) for c in ("t", "all", "most", "root"))
+    return t, root, -(-most // LIST), -(-(every - most) // LIST)
+
+
+def _held(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each ``x`` in the sorted ``keys``, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
+    return at, (keys[at] == x) if len(keys) else np.zeros(len(x), bool)
+
+
+def _groups(token, node, root, lists):
+    """(posting, group, label) rows: where each posting is compared, and as what. Those of one label in a group are not compared.
+
+    A long list's largest class is dealt to its blocks, and each of these meets all blocks of the others; the others meet among themselves in
+    pairs of their blocks. Where there are no others, nothing is compared.
+    """
+    keys, largest, main, rest = lists
+    at, long = _held(keys, token)
+    k = np.ones(len(token), np.int64)
+    if long.any():
+        mine = long & (largest[at] == root)
+        k = np.where(mine, rest[at], np.where(long, main[at] + rest[at], 1))
+    for part in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(k) // _PAIRS)) + 1):
+        i, step = _from_to(k[part])
+        i = part[i]
+        group, label = token[i].view(np.uint64).copy(), root[i].copy()
+        if long.any():
+            x, h = at[i], _mix(node[i].view(np.uint64)) >> np.uint64(1)
+            side = np.where(mine[i], 0, np.where(step < main[x], 1, 2))
+            of = lambda blocks: (h % np.maximum(blocks[x], 1).astype(np.uint64)).astype(np.int64)
+            own, other = np.where(side == 0, of(main), of(rest)), np.where(side == 2, step - main[x], step)
+            a = np.where(side == 0, own, np.where(side == 1, other, np.minimum(own, other)))
+            b = np.where(side == 0, other, np.where(side == 1, own, np.maximum(own, other)))
+            place = ((side == 2).astype(np.int64) << 62 | a << 31 | b).view(np.uint64)
+            group = np.where(long[i], _mix(group ^ _mix(place + np.uint64(1))), group)
+            label = np.where(long[i] & (side == 1), largest[x] ^ 1, label)
+        yield i, group, label
+
+
+def of_several_roots(g: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Whether a row's group has rows of another root."""
+    order = np.lexsort((root, g))
+    g, root = g[order], root[order]
+    first, last = np.searchsorted(g, g, "left"), np.searchsorted(g, g, "right") - 1
+    out = np.empty(len(g), bool)
+    out[order] = root[first] != root[last]
+    return out
+
+
+def missing_links(rooted: DataFrame, threshold: float) -> DataFrame:
+    """``rooted`` (node, root, n, p, m) to links (u, v), distinct, u < v: pairs of different roots that share a key, and that ``n`` and ``m`` leave
+    possible. Most lists have nodes of one root alone and end in a first pass; only the rows of the others get their ``m``."""
+    lists = _long_lists(rooted)
+    dealt = rooted.sparkSession.sparkContext.broadcast(lists)
     total = rooted.agg(F.sum(F.size("p"))).first()[0] or 0
-    total += int((long["n"].to_numpy(np.int64) * np.maximum(0, blocks - 1)).sum())
     tasks = max(1, -(-total // POSTINGS))
 
     def deal(batches):
-        t, blocks = dealt.value
         for b in _slices(batches):
             node, root, n = (b.column(c).to_numpy().astype(np.int64) for c in range(3))
-            row, pos = _from_to(b.column(3).value_lengths().to_numpy().astype(np.int64))
-            token = b.column(3).flatten().to_numpy().view(np.uint64)
-            k = np.ones(len(token), np.int64)
-            if len(t):
-                at = np.minimum(np.searchsorted(t, token), len(t) - 1)
-                k = np.where(t[at] == token, blocks[at], 1)
-            for part in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(k) // _PAIRS)) + 1):
-                i, other = _from_to(k[part])
-                i = part[i]
-                mine = (_mix(node[row[i]].view(np.uint64)) % k[i].astype(np.uint64)).astype(np.int64)
-                pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).view(np.uint64)
-                g = np.where(k[i] > 1, _mix(token[i] ^ _mix(pair + np.uint64(1))), token[i])
-                columns = [(g % np.uint64(tasks)).astype(np.int32), g.view(np.int64), node[row[i]], root[row[i]], pos[i] << 32 | n[row[i]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["task", "g", "node", "root", "at"])
+            row, _ = _from_to(b.column(3).value_lengths().to_numpy().astype(np.int64))
+            token = b.column(3).flatten().to_numpy()
+            for i, group, label in _groups(token, node[row], root[row], dealt.value):
+                columns = [(group % np.uint64(tasks)).astype(np.int32), group.view(np.int64), node[row[i]], label, n[row[i]].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["task", "g", "node", "root", "n"])
+
+    def mixed(table: pa.Table) -> pa.Table:
+        keep = of_several_roots(table.column("g").to_numpy(), table.column("root").to_numpy())
+        return table.filter(pa.array(keep))
 
     def search(table: pa.Table) -> pa.Table:
-        g, node, root, at = (table.column(c).to_numpy() for c in ("g", "node", "root", "at"))
-        u, v = prefix_pairs(g, node, root, at >> 32, at & 0xFFFFFFFF, threshold)
+        g, node, root, n = (table.column(c).to_numpy() for c in ("g", "node", "root", "n"))
+        m = np.frombuffer(b"".join(table.column("m").to_pylist()), np.uint64).reshape(-1, 8)
+        u, v = list_pairs(g, node, root, n.astype(np.int64), m, threshold)
+        release()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    rows = rooted.select("node", "root", "n", "p").mapInArrow(deal, "task int, g long, node long, root long, at long")
-    return rows.groupBy("task").applyInArrow(search, "u long, v long").distinct()
+    schema = "task int, g long, node long, root long, n int"
+    rows = rooted.select("node", "root", "n", "p").mapInArrow(deal, schema).groupBy("task").applyInArrow(mixed, schema)
+    known = materialize(rows, "mixed")
+    found = known.join(rooted.select("node", "m"), "node").groupBy("task").applyInArrow(search, "u long, v long").distinct()
+    out = materialize(found, "missing")
+    discard(known)
+    return out
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -477,36 +521,64 @@ def possible_links(links: DataFrame, nodes: DataFrame, threshold: float) -> Data
 
 
 def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The links whose nodes' shingle sets have a Jaccard coefficient of ``threshold`` or more."""
-    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
+    """The ``links`` (u, v) whose nodes' shingle sets (``sets``: node, h) have a Jaccard coefficient of ``threshold`` or more.
+
+    Links are checked in families, the connected components that they form: each set is sent to its family's task once. A
+    family of more than ``FAMILY`` shingles is dealt to blocks, and each pair of blocks with links gets the sets that these need.
+    """
+    family = materialize(components(links), "family")
+    sized = family.join(sets.select("node", F.size("h").alias("n")), "node")
+    parts = sized.groupBy("root").agg(F.sum("n").alias("all")).select("root", F.ceil(F.col("all") / FAMILY).alias("parts"), "all")
+    placed = materialize(sized.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("block")), "placed")
+    shingles = parts.agg(F.sum("all")).first()[0] or 0
+    ends = [placed.select(F.col("node").alias(c), F.col("root").alias(f"root{c}"), F.col("block").alias(f"block{c}")) for c in "uv"]
+    group = F.pmod(F.xxhash64("rootu", F.least("blocku", "blockv"), F.greatest("blocku", "blockv")), F.lit(int(shingles) // FAMILY + 1)).cast("int")
+    pairs = materialize(links.join(ends[0], "u").join(ends[1], "v").select(group.alias("task"), "u", "v"), "pairs")
+    wanted = pairs.select("task", F.col("u").alias("node")).union(pairs.select("task", "v")).distinct()
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        node = right.column("node").to_numpy()
+        h = right.column("h").combine_chunks()
+        values, ends = h.values.to_numpy(), h.offsets.to_numpy()
+        order = np.argsort(node)
+        u, v = (left.column(c).to_numpy() for c in "uv")
+        keep = np.zeros(len(u), bool)
+        for k, (i, j) in enumerate(zip(order[np.searchsorted(node[order], u)].tolist(), order[np.searchsorted(node[order], v)].tolist())):
+            a, b = values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep[k] = both >= threshold * (len(a) + len(b) - both) - 1e-9
+        release()
+        return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])})
+
+    sent = wanted.join(sets, "node").select(F.col("task").alias("of"), "node", "h")
+    out = materialize(pairs.groupBy("task").cogroup(sent.groupBy("of")).applyInArrow(verify, "u long, v long"), "alike")
+    discard(family, placed, pairs)
+    return out
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, size: int) -> DataFrame:
     """id, rid, root (the same for all rows of a class, and for no others) and component, the smallest ``id_key`` of the class."""
-    order = shingle_order(docs, text_col, size)
-    each = materialize(sketches(docs, order, id_col, text_col, threshold, size), "sketches")
+    each = materialize(sketches(docs, id_col, text_col, size), "sketches")
     grouped = each.groupBy("node", *_SKETCH).agg(F.min(F.struct(id_key("id").alias("key"), "rid", "n", "p", "m")).alias("low"))
     nodes = materialize(grouped.select("node", F.col("low.key").alias("first"), F.col("low.rid").alias("rid"), F.col("low.n").alias("n"), F.col("low.p").alias("p"), F.col("low.m").alias("m"), *_SKETCH), "nodes")
     slim = materialize(each.select("id", "rid", "node"), "rows")
     discard(each)
 
-    def checked(found: DataFrame) -> DataFrame:
-        links = materialize(possible_links(found, nodes, threshold), "possible")
-        discard(found)
+    def checked(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
         wanted = materialize(ends.join(nodes, "node").select("node", F.col("first").alias("key"), "rid"), "wanted")
         sets = materialize(_shingle_sets(docs, wanted, id_col, text_col, size), "shingles")
-        alike = materialize(check_links(links, sets, threshold), "alike")
+        alike = check_links(links, sets, threshold)
         discard(links, wanted, sets)
         return alike
 
-    alike = checked(materialize(candidate_links(nodes), "candidates"))
+    found = materialize(candidate_links(nodes), "candidates")
+    alike = checked(materialize(possible_links(found, nodes, threshold), "possible"))
+    discard(found)
     roots = materialize(components(alike), "roots")
-    rooted = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "p"), "rooted")
+    rooted = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "p", "m"), "rooted")
     discard(roots)
-    missing = materialize(missing_links(rooted, order, threshold), "missing")
+    missing = missing_links(rooted, threshold)
     discard(rooted)
     more = checked(missing)
     roots = materialize(components(alike.union(more)), "roots")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import discard, id_key, materialize, text_bytes
+from .common import discard, id_key, materialize, release, text_bytes
 
 #: Words of a window at the first level, at most.
 FIRST = 16
@@ -172,6 +172,7 @@ def _find_runs(length: int, level: int):
                 k = np.searchsorted(ends, start, side="right")
                 begin = np.concatenate([[0], ends[:-1]])
                 yield _rows(anchor, span, owner[k, 0], owner[k, 1], _pack(windows, start - begin[k] + offset[k]))
+        release()
 
     return run
 
