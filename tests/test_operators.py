@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.operators import catalog, fetch, groups, log as L, offsets, produce, replication, stats
-from tidelog.operators.prefix import numbered, running
+from tidelog.operators.prefix import carried, numbered, running
 from tidelog.operators.routing import route
 from tidelog.schema import LogConfig
 
@@ -34,6 +34,40 @@ def test_two_level_counts_equal_one_level(spark):
     assert rows(numbered(df, ["k"], ["n"], "i"), "n") == rows(numbered(df, ["k"], ["n"], "i", F.floor(F.col("n") / 50)), "n")
 
 
+def test_two_level_extremes_equal_one_level(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else f"k{i % 3}", i, (i * 37) % 101 if i % 4 else None) for i in range(200)], "k string, n int, v int")
+    values = {"up": ("max", F.col("v")), "down": ("min", F.col("v")), "latest": ("last", F.struct("v", "n")), "seen": ("last", F.when(F.col("v") > 50, F.col("v")))}
+    plain, split = (rows(carried(df, ["k"], ["n"], values, b), "n") for b in (None, F.floor(F.col("n") / 13)))
+    assert plain == split
+    want, so_far = [], {}
+    for k, n, v in rows(df, "n"):
+        now = so_far.setdefault(k, [None, None, None])
+        if v is not None:
+            now[:2] = max(v, now[0] if now[0] is not None else v), min(v, now[1] if now[1] is not None else v)
+            now[2] = v if v > 50 else now[2]
+        want.append((k, n, v, now[0], now[1], (v, n), now[2]))
+    assert [tuple(r[:5]) + (tuple(r[5]), r[6]) for r in split] == want
+    assert rows(carried(df.where("n < 0"), ["k"], ["n"], values, F.floor(F.col("n") / 13))) == []
+
+
+def test_ranges_do_not_change_lookups(spark):
+    """Floor lookups, pending acknowledgements, watermarks and percentiles, cut into ranges or not."""
+    targets = spark.createDataFrame([("t", i % 2, i) for i in range(-3, 120)], "topic string, partition int, target long")
+    found = spark.createDataFrame([("t", 0, i) for i in (0, 7, 50, 51)] + [("t", 1, 60)], "topic string, partition int, base_offset long")
+    assert rows(L.segment_lookup(targets, found), "target") == rows(L.segment_lookup(targets, found, width=16), "target")
+    reports = spark.createDataFrame([("t", 0, i, i % 3 + 1, i // 3 + (i * 7) % 5, 1000 * i) for i in range(90)], "topic string, partition int, seq long, broker_id int, leo long, ts long")
+    cut = F.floor(F.col("seq") / 8)
+    plain, split = (replication.watermark_history(reports, [1, 2, 3], bucket=b) for b in (None, cut))
+    assert rows(plain, "seq") == rows(split, "seq")
+    assert rows(replication.caught_up(reports, 1), "broker_id") == rows(replication.caught_up(reports, 1, bucket=cut), "broker_id")
+    pending = spark.createDataFrame([("t", 0, i, i, 40_000) for i in range(-2, 40)], "topic string, partition int, id long, required_hw long, deadline_ms long")
+    marks = plain.select("topic", "partition", "ts", "hw")
+    assert rows(replication.complete_pending(pending, marks), "id") == rows(replication.complete_pending(pending, marks, 4), "id")
+    samples = spark.createDataFrame([("w" if i % 5 else None, (i * 13) % 40, i) for i in range(200)], "w string, v long, n int")
+    assert rows(stats.after_warm_up(samples, ["w"], ["n"]), "n") == rows(stats.after_warm_up(samples, ["w"], ["n"], F.floor(F.col("n") / 9)), "n")
+    assert rows(stats.percentiles(samples, ["w"], "v", {"p50": 50, "p99": 99}), "w") == rows(stats.percentiles(samples, ["w"], "v", {"p50": 50, "p99": 99}, 6), "w")
+
+
 def test_offsets_continue(spark):
     df = spark.createDataFrame([("t", 0, i, 99) for i in range(3)], "topic string, partition int, n int, offset long")
     ends = spark.createDataFrame([("t", 0, 10)], "topic string, partition int, leo long")

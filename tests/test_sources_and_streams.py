@@ -102,6 +102,13 @@ def test_stored_log_appends_once(spark, tmp_path):
     log.append(new, ["n"], 0)
     log.append(new, ["n"], 1)
     assert sorted((r.partition, r.log_start, r.leo) for r in log.ends().collect()) == [(0, 0, 8), (1, 0, 8)]
+    # an append that was cut off before its ends were renamed has not happened; the next one overwrites what it left
+    (tmp_path / "stored/_ends/1-1").rename(tmp_path / "stored/_ends/.next")
+    assert log.read().count() == 8 and sorted((r.partition, r.leo) for r in log.ends().collect()) == [(0, 4), (1, 4)]
+    log.append(new.where("partition = 0"), ["n"], 2)
+    log.append(new.where("n < 0"), ["n"])
+    assert sorted((r.partition, r.offset, r.batch_id) for r in log.read().collect()) == sorted([(p, i, 0) for p in (0, 1) for i in range(4)] + [(0, i, 2) for i in range(4, 8)])
+    assert sorted((r.partition, r.log_start, r.leo) for r in log.ends().collect()) == [(0, 0, 8), (1, 0, 4)]
 
 
 def _stream(spark, df, path, parts=3):

@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 
 from ..functions.records import encoded_size
 from ..schema import INDEX_ENTRY_BYTES, LogConfig
-from .prefix import numbered, running
+from .prefix import carried, numbered, running
 
 KEYS = ["topic", "partition"]
 
@@ -79,18 +79,18 @@ def index_entries(laid: DataFrame) -> DataFrame:
     return laid.where("indexed").select(*KEYS, F.col("segment_base").alias("base_offset"), (F.col("offset") - F.col("segment_base")).alias("relative_offset"), "position")
 
 
-def floor_lookup(targets: DataFrame, entries: DataFrame, keys: list[str], target: str, at: str, values: list[str], default: dict[str, Column] | None = None) -> DataFrame:
+def floor_lookup(targets: DataFrame, entries: DataFrame, keys: list[str], target: str, at: str, values: list[str], default: dict[str, Column] | None = None, width: int | None = None) -> DataFrame:
     """As-of lookup: for each target the ``values`` of the entry with the greatest ``at`` <= ``target``, and ``exact``.
 
     Both sides are laid into one ordered stream per key, and each target takes the last entry before it: one shuffle,
-    no pairs. Without such an entry the values are null, or those of ``default``, and exact is false.
+    no pairs. Without such an entry the values are null, or those of ``default``, and exact is false. With a ``width``
+    the stream is cut into ranges of so many values, a task each.
     """
     names = targets.columns
     entry = F.struct(F.col(at).cast("long").alias("at"), *[F.col(v) for v in values])
     left = targets.select(*keys, F.col(target).cast("long").alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in names]).alias("__row"), F.lit(None).cast(entries.select(entry.alias("e")).schema[0].dataType).alias("__entry"))
     right = entries.select(*keys, F.col(at).cast("long").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), entry.alias("__entry"))
-    window = W.Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(W.Window.unboundedPreceding, 0)
-    both = left.union(right).withColumn("__found", F.last("__entry", ignorenulls=True).over(window)).where("__side = 1")
+    both = carried(left.union(right), keys, ["__at", "__side"], {"__found": ("last", F.col("__entry"))}, width and F.floor(F.col("__at") / width)).where("__side = 1")
     default = default or {}
     return both.select("__row.*", *[F.coalesce(F.col(f"__found.{v}"), default[v]).alias(v) if v in default else F.col(f"__found.{v}").alias(v) for v in values], F.coalesce(F.col("__found.at") == F.col("__at"), F.lit(False)).alias("exact"))
 
@@ -100,9 +100,9 @@ def index_lookup(targets: DataFrame, entries: DataFrame, target: str = "relative
     return floor_lookup(targets, entries, [*KEYS, "base_offset"], target, "relative_offset", ["position"], {"position": F.lit(0).cast("long")})
 
 
-def segment_lookup(targets: DataFrame, found: DataFrame, target: str = "target") -> DataFrame:
+def segment_lookup(targets: DataFrame, found: DataFrame, target: str = "target", width: int | None = None) -> DataFrame:
     """``targets`` (topic, partition, target) with the base_offset of the segment that holds it; null below the first."""
-    return floor_lookup(targets, found.select(*KEYS, "base_offset"), KEYS, target, "base_offset", ["base_offset"]).drop("exact")
+    return floor_lookup(targets, found.select(*KEYS, "base_offset"), KEYS, target, "base_offset", ["base_offset"], width=width).drop("exact")
 
 
 def bounds(found: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running counts and sums over long ordered groups, in two levels.
+"""Running counts, sums, extremes and last values over long ordered groups, in two levels.
 
 A window over (topic, partition) puts a whole partition's history into one task. Where a bucket column is given that never
 falls along the order (an hour, a range of offsets), rows are counted inside (keys, bucket), and the buckets' totals,
@@ -35,3 +35,31 @@ def running(df: DataFrame, keys: list[str], order: list, sums: dict[str, tuple[C
     parts = rows.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(window.rowsBetween(_ALL, 0 if own else -1)), F.lit(0).cast("long")) for n, (_, own) in sums.items()})
     joined = parts.join(renamed, same)
     return joined.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums}).select(*df.columns, *sums)
+
+
+#: How a running value is formed inside a window, from the totals of buckets, and from both.
+_FOLDS = {
+    "max": (F.max, lambda before, own: F.greatest(before, own)),
+    "min": (F.min, lambda before, own: F.least(before, own)),
+    "last": (lambda v: F.last(v, ignorenulls=True), lambda before, own: F.coalesce(own, before)),
+}
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], bucket: Column | None = None) -> DataFrame:
+    """``df`` with running values, the row's own included: name -> (max, min or last, value); nulls are passed over.
+
+    ``order`` are columns, ascending; rows that are equal in all of them stand in any order.
+    """
+    if bucket is None:
+        window = W.Window.partitionBy(*keys).orderBy(*order).rowsBetween(_ALL, 0)
+        return df.withColumns({n: _FOLDS[kind][0](v).over(window) for n, (kind, v) in values.items()})
+    rows = df.withColumns({"__bucket": bucket, **{f"__v_{n}": v for n, (_, v) in values.items()}})
+    at = F.struct(*order)
+    of_bucket = [F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) if kind == "last" else _FOLDS[kind][0](F.col(f"__v_{n}")) for n, (kind, _) in values.items()]
+    totals = rows.groupBy(*keys, "__bucket").agg(*[t.alias(f"__t_{n}") for t, n in zip(of_bucket, values)])
+    before = W.Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(_ALL, -1)
+    totals = totals.select(*[F.col(k).alias(f"__k_{k}") for k in [*keys, "__bucket"]], *[_FOLDS[kind][0](F.col(f"__t_{n}")).over(before).alias(f"__b_{n}") for n, (kind, _) in values.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__bucket"]]
+    window = W.Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(_ALL, 0)
+    parts = rows.withColumns({n: _FOLDS[kind][0](F.col(f"__v_{n}")).over(window) for n, (kind, _) in values.items()})
+    return parts.join(totals, same).withColumns({n: _FOLDS[kind][1](F.col(f"__b_{n}"), F.col(n)) for n, (kind, _) in values.items()}).select(*df.columns, *values)

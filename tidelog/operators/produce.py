@@ -98,33 +98,62 @@ def produce(requests: DataFrame, records: DataFrame, topics: DataFrame, partitio
 
 
 class StoredLog:
-    """A log in Parquet files by topic and partition, sorted by offset, so that offset filters skip row groups.
+    """A log in Parquet files by append, topic and partition, sorted by offset, so that offset filters skip row groups.
 
-    One writer at a time, as a broker has one for each partition: an append reads the ends first and adds to them. ``batch_id``
-    makes an append idempotent: a batch that has been stored is not stored again.
+    One writer at a time, as a broker has one for each partition. Append k writes its records to ``append=k``, and then, by one
+    rename, a small table of all partitions' ends to ``_ends/k-batch``: with that it has happened. So an append reads no stored
+    records, whatever the log's size; what one left that was cut off before the rename is not read, and the next overwrites it.
+    ``batch_id`` makes an append idempotent: a batch that has been stored is not stored again.
     """
 
+    _SCHEMA = "offset long, timestamp long, attributes tinyint, key binary, value binary, encoded_size int, batch_id long, append int, topic string, partition int"
+    _ENDS = "topic string, partition int, log_start long, leo long"
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._schema = "offset long, timestamp long, attributes tinyint, key binary, value binary, encoded_size int, batch_id long, topic string, partition int"
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _hadoop(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _appends(self) -> list[str]:
+        """The names of the appends that have happened, in order: number-batch, or number- without a batch."""
+        system, p = self._hadoop(f"{self.path}/_ends")
+        if not system.exists(p):
+            return []
+        names = [x.getPath().getName() for x in system.listStatus(p)]
+        return sorted((n for n in names if not n.startswith(("_", "."))), key=lambda n: int(n.partition("-")[0]))
 
-    def _exists(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _ends_of(self, appends: list[str]) -> DataFrame:
+        if not appends:
+            return self.spark.createDataFrame([], self._ENDS)
+        return self.spark.read.schema(self._ENDS).parquet(f"{self.path}/_ends/{appends[-1]}")
 
     def read(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], self._schema)
-        return self.spark.read.schema(self._schema).parquet(self.path)
+        appends = self._appends()
+        if not appends:
+            return self.spark.createDataFrame([], self._SCHEMA).drop("append")
+        return self.spark.read.schema(self._SCHEMA).parquet(self.path).where(F.col("append") < len(appends)).drop("append")
 
     def ends(self) -> DataFrame:
-        return self.read().groupBy(*KEYS).agg(F.min("offset").alias("log_start"), (F.max("offset") + 1).alias("leo"))
+        """topic, partition, log_start, leo."""
+        return self._ends_of(self._appends())
 
     def append(self, records: DataFrame, order: list, batch_id: int | None = None) -> None:
         """``records`` (topic, partition, timestamp, attributes, key, value and the ``order`` columns)."""
-        if batch_id is not None and self.read().where(F.col("batch_id") == batch_id).limit(1).count():
+        appends = self._appends()
+        if batch_id is not None and any(n.partition("-")[2] == str(batch_id) for n in appends):
             return
-        rows = with_sizes(assign_offsets(records, order, self.ends()))
+        ends, here = self._ends_of(appends), f"{self.path}/append={len(appends)}"
+        rows = with_sizes(assign_offsets(records, order, ends))
         rows = rows.withColumns({"batch_id": F.lit(batch_id).cast("long"), "attributes": F.col("attributes").cast("tinyint")})
-        names = [x.strip().split()[0] for x in self._schema.split(",")]
-        rows.select(*names).repartition(*KEYS).sortWithinPartitions(*KEYS, "offset").write.mode("append").partitionBy(*KEYS).parquet(self.path)
+        names = [x.strip().split()[0] for x in self._SCHEMA.split(",")]
+        names.remove("append")
+        rows.select(*names).repartition(*KEYS).sortWithinPartitions(*KEYS, "offset").write.mode("overwrite").partitionBy(*KEYS).parquet(here)
+        new = self.spark.read.schema(", ".join(x for x in self._SCHEMA.split(", ") if not x.startswith("append "))).parquet(here)
+        after = ends.unionByName(new.groupBy(*KEYS).agg(F.min("offset").alias("log_start"), (F.max("offset") + 1).alias("leo")))
+        done, cut = f"{self.path}/_ends/{len(appends)}-{'' if batch_id is None else batch_id}", f"{self.path}/_ends/.next"
+        after.groupBy(*KEYS).agg(F.min("log_start").alias("log_start"), F.max("leo").alias("leo")).coalesce(1).write.mode("overwrite").parquet(cut)
+        system, p = self._hadoop(cut)
+        if not system.rename(p, self._hadoop(done)[1]):
+            raise OSError(f"{cut} could not be renamed to {done}")

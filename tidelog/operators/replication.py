@@ -5,10 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..schema import ERRORS
-from .prefix import running
+from .prefix import carried, running
 
 KEYS = ["topic", "partition"]
 
@@ -18,14 +17,14 @@ def replica_leo(events: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return events.groupBy(*keys, "broker_id").agg(F.max("leo").alias("leo"))
 
 
-def caught_up(events: DataFrame, leader_id: int, keys: list[str] = KEYS) -> DataFrame:
+def caught_up(events: DataFrame, leader_id: int, keys: list[str] = KEYS, bucket: Column | None = None) -> DataFrame:
     """Last time each replica's log end was the leader's: events (keys, seq, broker_id, leo, ts).
 
-    Each event is held against the greatest end that the leader has reported until then.
+    Each event is held against the greatest end that the leader has reported until then. ``bucket``, which never falls
+    along seq, splits a long history over tasks.
     """
-    so_far = W.Window.partitionBy(*keys).orderBy("seq").rowsBetween(W.Window.unboundedPreceding, 0)
-    own = W.Window.partitionBy(*keys, "broker_id").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = events.withColumns({"__leader": F.max(F.when(F.col("broker_id") == leader_id, F.col("leo"))).over(so_far), "__own": F.max("leo").over(own)})
+    rows = carried(events, keys, ["seq"], {"__leader": ("max", F.when(F.col("broker_id") == leader_id, F.col("leo")))}, bucket)
+    rows = carried(rows, [*keys, "broker_id"], ["seq"], {"__own": ("max", F.col("leo"))}, bucket)
     return rows.groupBy(*keys, "broker_id").agg(F.max("leo").alias("leo"), F.max(F.when(F.col("__own") >= F.coalesce("__leader", F.lit(0)), F.col("ts"))).alias("last_caught_up_ms"))
 
 
@@ -44,27 +43,30 @@ def high_watermark(replicas: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return replicas.groupBy(*keys).agg(F.min(F.when(F.col("in_sync"), F.col("leo"))).alias("hw"))
 
 
-def watermark_history(events: DataFrame, brokers: list[int], keys: list[str] = KEYS) -> DataFrame:
-    """``events`` (keys, seq, broker_id, leo) with hw after each: the least end over all ``brokers``, 0 before their first
-    report, and never falling."""
-    so_far = W.Window.partitionBy(*keys).orderBy("seq").rowsBetween(W.Window.unboundedPreceding, 0)
-    ends = [F.coalesce(F.max(F.when(F.col("broker_id") == b, F.col("leo"))).over(so_far), F.lit(0).cast("long")) for b in brokers]
-    least = F.least(*ends) if len(ends) > 1 else ends[0]
-    return events.withColumn("__hw", least).withColumn("hw", F.max("__hw").over(so_far)).drop("__hw")
+def watermark_history(events: DataFrame, brokers: list[int], keys: list[str] = KEYS, bucket: Column | None = None) -> DataFrame:
+    """``events`` (keys, seq, broker_id, leo; an end is 0 or more) with hw after each: the least end over all ``brokers``, 0
+    before their first report. As an end so far never falls, their least never does.
+
+    ``bucket``, which never falls along seq, splits a long history over tasks.
+    """
+    names = [f"__end_{b}" for b in brokers]
+    rows = carried(events, keys, ["seq"], {n: ("max", F.when(F.col("broker_id") == b, F.col("leo"))) for n, b in zip(names, brokers)}, bucket)
+    ends = [F.coalesce(n, F.lit(0).cast("long")) for n in names]
+    return rows.withColumn("hw", F.least(*ends) if len(ends) > 1 else ends[0]).drop(*names)
 
 
-def complete_pending(pending: DataFrame, watermarks: DataFrame) -> DataFrame:
+def complete_pending(pending: DataFrame, watermarks: DataFrame, width: int | None = None) -> DataFrame:
     """``pending`` (id, keys, required_hw, deadline_ms) with done_at and error_code: at the first ``watermarks`` (keys, ts, hw;
     hw never falls along ts) that reaches the required one, if before the deadline; else the deadline and 6.
 
     Nothing is paired: as hw rises with time, the first watermark that suffices is a floor search, done in one
-    ordered stream of both sides per partition.
+    ordered stream of both sides per partition; with a ``width`` it is cut into ranges of so many offsets, a task each.
     """
     names = pending.columns
     left = pending.select(*KEYS, F.col("required_hw").alias("__hw"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__ts"), F.struct(*names).alias("__row"))
     right = watermarks.select(*KEYS, F.col("hw").alias("__hw"), F.lit(0).alias("__side"), F.col("ts").cast("long").alias("__ts"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"))
-    after = W.Window.partitionBy(*KEYS).orderBy(F.col("__hw").desc(), F.col("__side"), F.col("__ts").desc_nulls_last()).rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = left.union(right).withColumn("__first", F.min("__ts").over(after)).where("__side = 1")
+    both = left.union(right).withColumn("__below", -F.col("__hw"))
+    rows = carried(both, KEYS, ["__below", "__side"], {"__first": ("min", F.col("__ts"))}, width and F.floor(F.col("__below") / width)).where("__side = 1")
     at_once = F.col("__row.required_hw") <= 0
     in_time = F.coalesce(F.col("__first") <= F.col("__row.deadline_ms"), F.lit(False))
     done = F.when(at_once, F.lit(None).cast("long")).when(in_time, F.col("__first")).otherwise(F.col("__row.deadline_ms"))

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .prefix import numbered, running
 
-def after_warm_up(samples: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Without the first tenth of each group's samples, one at least."""
-    window = W.Window.partitionBy(*keys)
-    rows = samples.withColumns({"__n": F.row_number().over(window.orderBy(*order)), "__all": F.count(F.lit(1)).over(window)})
-    return rows.where(F.col("__n") > F.greatest(F.lit(1), F.floor(F.col("__all") / 10))).drop("__n", "__all")
+
+def after_warm_up(samples: DataFrame, keys: list[str], order: list, bucket: Column | None = None) -> DataFrame:
+    """Without the first tenth of each group's samples, one at least. ``bucket``, which never falls along ``order``, splits a long group over tasks."""
+    totals = samples.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.count("*").alias("__all"))
+    rows = numbered(samples, keys, order, "__n", bucket).join(totals, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return rows.where(F.col("__n") >= F.greatest(F.lit(1), F.floor(F.col("__all") / 10))).select(*samples.columns)
 
 
 def limit_polls(polls: DataFrame, keys: list[str], order: list, seeded: Column, samples: int = 100, attempts: int = 2_000, empty: int = 5) -> DataFrame:
@@ -31,14 +33,15 @@ def limit_polls(polls: DataFrame, keys: list[str], order: list, seeded: Column,
     return rows.where(got & (F.col("__hits") <= samples) & (F.col("__over") == 0)).drop("__try", "__hits", "__read", "__idle", "__over")
 
 
-def percentiles(samples: DataFrame, keys: list[str], value: str, wanted: dict[str, int]) -> DataFrame:
+def percentiles(samples: DataFrame, keys: list[str], value: str, wanted: dict[str, int], width: int | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at index floor(n * p / 100), from 0, at most n - 1, and the maximum.
 
-    Equal values are counted first, with map-side combining; ranks run over distinct values, so nothing is collected.
+    Equal values are counted first, with map-side combining; ranks run over distinct values, so nothing is collected. With a
+    ``width`` the ranks of a group are counted in ranges of so many values, a task each.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    window = W.Window.partitionBy(*keys)
-    rows = counts.withColumns({"__upto": F.sum("__n").over(window.orderBy(value).rowsBetween(W.Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(window)})
+    totals = counts.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.sum("__n").alias("__all"))
+    rows = running(counts, keys, [value], {"__upto": (F.col("__n"), True)}, width and F.floor(F.col(value) / width)).join(totals, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     at = [F.min(F.when(F.col("__upto") > F.least(F.floor(F.col("__all") * p / 100), F.col("__all") - 1), F.col(value))).alias(name) for name, p in wanted.items()]
     return rows.groupBy(*keys).agg(*at, F.max(value).alias("max"), F.max("__all").alias("n"))
 

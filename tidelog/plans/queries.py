@@ -13,6 +13,7 @@ from ..operators import catalog, fetch, groups, log as L, offsets, produce, repl
 from ..operators.routing import partition_of_key, route
 from ..schema import DAY_MS, LogConfig
 from ..sources.record_sets import decode_sets, encode_sets
+from ..sources.workspace import stored
 from . import derive, oracle
 from .oracle import sql
 
@@ -186,6 +187,8 @@ def group_poll(spark, sf):
 
 # --- log geometry
 
+#: Offsets, or sequence numbers, that one task takes of a long ordered stream.
+_RANGE = 65_536
 _CONFIG = LogConfig(segment_bytes=8192, index_interval_bytes=1024, segment_ms=0)
 _WALK = f"""walk AS (SELECT {Q}, {O}, encoded_size, 0::BIGINT AS base, 0::BIGINT AS pos, encoded_size::BIGINT AS size, 0::BIGINT AS since, true AS mark, ts_ms AS born FROM log1 WHERE {O} = 0
 UNION ALL
@@ -224,16 +227,16 @@ def sparse_index(spark, sf):
     "log1", recursive=True, more=_BY_BYTES,
 ))
 def index_floor_lookup(spark, sf):
-    laid = _laid(spark, sf)
+    laid = stored(_laid(spark, sf), "laid")
     targets = laid.select(*KEYS, F.col("segment_base").alias("base_offset"), (F.col("offset") - F.col("segment_base")).alias("relative_target"))
     return L.index_lookup(targets, L.index_entries(laid)).drop("topic")
 
 
 @query(sql(f"SELECT t.{Q}, t.target, s.base_offset FROM (SELECT {Q}, {O} AS target FROM walk) t ASOF LEFT JOIN segs s ON s.{Q} = t.{Q} AND t.target >= s.base_offset", "log1", recursive=True, more=f"{_BY_BYTES}, {_SEGMENTS}"))
 def segment_floor_lookup(spark, sf):
-    laid = _laid(spark, sf)
+    laid = stored(_laid(spark, sf), "laid")
     targets = laid.select(*KEYS, F.col("offset").alias("target"))
-    return L.segment_lookup(targets, L.segments(laid)).select("partition", "target", "base_offset")
+    return L.segment_lookup(targets, L.segments(laid), width=_RANGE).select("partition", "target", "base_offset")
 
 
 @query(sql(f"SELECT {Q}, min(base_offset) AS log_start, max(next_offset) AS leo, count(*) AS segments, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM segs GROUP BY ALL", "log1", recursive=True, more=f"{_BY_BYTES}, {_SEGMENTS}"))
@@ -461,10 +464,18 @@ _LAG_MS = 2 * DAY_MS
 _STATE = f"state AS (SELECT *, broker_id = 1 OR coalesce((SELECT max(ts) FROM reports) - last_caught_up_ms <= {_LAG_MS}, false) AS in_sync FROM caught)"
 
 
+def _reports(spark, sf):
+    return stored(derive.replica_events(spark, sf), "reports")
+
+
+def _by_range():
+    return F.floor(F.col("seq") / _RANGE)
+
+
 def _replicas(spark, sf):
-    events = derive.replica_events(spark, sf)
+    events = _reports(spark, sf)
     now = derive.table(spark, sf, "lineitem").agg(F.max(F.unix_millis(F.col("l_shipdate").cast("timestamp"))).alias("now"))
-    return replication.with_in_sync(replication.caught_up(events, 1).crossJoin(now), 1, F.col("now"), _LAG_MS)
+    return replication.with_in_sync(replication.caught_up(events, 1, bucket=_by_range()).crossJoin(now), 1, F.col("now"), _LAG_MS)
 
 
 @query(sql(f"SELECT topic, {Q}, array_to_string(list_sort(list(broker_id) FILTER (in_sync)), ',') AS isr FROM state GROUP BY ALL", "caught", more=_STATE))
@@ -482,7 +493,7 @@ _HISTORY = f"""history AS MATERIALIZED (SELECT topic, {Q}, seq, ts, max(least(a,
 
 @query(sql(f"SELECT topic, {Q}, seq, hw FROM history", "reports", more=_HISTORY))
 def hw_history(spark, sf):
-    return replication.watermark_history(derive.replica_events(spark, sf), [1, 2, 3]).select(*KEYS, "seq", "hw")
+    return replication.watermark_history(_reports(spark, sf), [1, 2, 3], bucket=_by_range()).select(*KEYS, "seq", "hw")
 
 
 @query(sql(f"""SELECT p.topic, p.{Q}, p.id, p.required_hw, CASE WHEN p.required_hw <= 0 THEN NULL WHEN f.first <= p.deadline_ms THEN f.first ELSE p.deadline_ms END AS done_at,
@@ -490,9 +501,9 @@ def hw_history(spark, sf):
 FROM pending p ASOF LEFT JOIN (SELECT {Q}, hw, min(ts) AS first FROM history GROUP BY ALL) f ON f.{Q} = p.{Q} AND p.required_hw <= f.hw""",
     "reports", more=f"{_HISTORY}, pending AS (SELECT topic, {Q}, seq AS id, CAST(seq // 3 AS BIGINT) AS required_hw, ts + {DAY_MS} AS deadline_ms FROM reports)"))
 def purgatory_completion(spark, sf):
-    events = derive.replica_events(spark, sf)
+    events = _reports(spark, sf)
     pending = events.select(*KEYS, F.col("seq").alias("id"), F.floor(F.col("seq") / 3).cast("long").alias("required_hw"), (F.col("ts") + DAY_MS).alias("deadline_ms"))
-    return replication.complete_pending(pending, replication.watermark_history(events, [1, 2, 3])).select(*KEYS, "id", "required_hw", "done_at", "error_code")
+    return replication.complete_pending(pending, replication.watermark_history(events, [1, 2, 3], bucket=_by_range()), _RANGE).select(*KEYS, "id", "required_hw", "done_at", "error_code")
 
 
 @query(sql(f"SELECT r.topic, r.{Q}, r.broker_id, r.leo, least(h.hw, r.leo) AS hw FROM (SELECT topic, {Q}, broker_id, max(leo) AS leo FROM reports WHERE broker_id <> 1 GROUP BY ALL) r JOIN (SELECT topic, {Q}, max(leo) - 5 AS hw FROM reports WHERE broker_id = 1 GROUP BY ALL) h ON h.{Q} = r.{Q}", "reports"))
@@ -535,8 +546,8 @@ def producer_batches(spark, sf):
 @query(sql("""SELECT worker, l[CAST(least(len(l) * 50 // 100, len(l) - 1) + 1 AS BIGINT)] AS p50, l[CAST(least(len(l) * 95 // 100, len(l) - 1) + 1 AS BIGINT)] AS p95, l[CAST(least(len(l) * 99 // 100, len(l) - 1) + 1 AS BIGINT)] AS p99, l[len(l)] AS max, CAST(len(l) AS BIGINT) AS n
 FROM (SELECT worker, list_sort(list(us)) AS l FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY worker) AS n FROM lat) WHERE rn > greatest(1, n // 10) GROUP BY worker)""", "lat"))
 def latency_percentiles(spark, sf):
-    rows = stats.after_warm_up(derive.latencies(spark, sf), ["worker"], ["ts", "event_id"])
-    return stats.percentiles(rows, ["worker"], "us", {"p50": 50, "p95": 95, "p99": 99})
+    rows = stats.after_warm_up(derive.latencies(spark, sf), ["worker"], ["ts", "event_id"], derive.hour())
+    return stats.percentiles(rows, ["worker"], "us", {"p50": 50, "p95": 95, "p99": 99}, 1_000)
 
 
 @query(sql("SELECT worker, count(*) AS n, round(count(*) / (greatest(max(ts_ms) - min(ts_ms), 1) / 1000.0), 9) AS msgs_per_s, round(count(*) * 1024 / 1048576.0 / (greatest(max(ts_ms) - min(ts_ms), 1) / 1000.0), 9) AS mib_per_s FROM lat GROUP BY worker", "lat"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession, tag: str) -> str:
@@ -19,5 +19,12 @@ def workspace(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/tidelog/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once as Parquet and read from there, for plans that would compute it for each use."""
+    path = workspace(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_path(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file:///") else path
