@@ -619,7 +619,12 @@ def test_edits_of_odd_rows(spark, odd, empty):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1
 
 
-def test_spotsigs_search(spark):
+@pytest.mark.parametrize("block, family", [(4096, 1 << 20), (6, 500)])
+def test_spotsigs_search(spark, monkeypatch, block, family):
+    """Also where a family's lists are dealt to blocks, and its sets to several tasks."""
+    monkeypatch.setattr(similar, "LIST", block)
+    monkeypatch.setattr(similar, "_ONE_IN", 2)
+    monkeypatch.setattr(similar, "FAMILY", family)
     rows, base = [], words(200, 5) + ["the"] * 0
     base = [w if i % 3 else "the" for i, w in enumerate(base)]
     for i in range(30):
@@ -634,7 +639,20 @@ def test_spotsigs_search(spark):
         first.setdefault(sigs[i].tobytes(), i)
     ids = sorted(first.values())
     want = {(a, b): spotsigs.jaccard(sigs[a], sigs[b]) for k, a in enumerate(ids) for b in ids[k + 1 :] if spotsigs.jaccard(sigs[a], sigs[b]) >= 0.8}
-    assert got == want and len(want) > 20
+    assert got == pytest.approx(want) and len(want) > 20
+
+
+def test_spotsigs_search_of_odd_rows(spark, odd, empty):
+    """Rows of equal signature sets are one; null ids come last."""
+    got = {(r.a, r.b): r.jaccard for r in spotsigs.near_duplicates(odd).collect()}
+    sigs = {}
+    for i, t in odd_rows():
+        k = spotsigs.signatures((t or "").encode()).tobytes()
+        sigs[k] = min(sigs.get(k, 2**63 - 1), 2**63 - 1 if i is None else i)
+    of = [(np.frombuffer(k, np.uint32), i) for k, i in sigs.items()]
+    want = {(min(i, j), max(i, j)): spotsigs.jaccard(a, b) for x, (a, i) in enumerate(of) for b, j in of[x + 1 :] if spotsigs.jaccard(a, b) >= 0.8}
+    assert got == pytest.approx(want)
+    assert spotsigs.near_duplicates(empty).count() == 0
 
 
 def test_near_edited_and_next_by_brute_force(spark):

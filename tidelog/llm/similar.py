@@ -520,8 +520,8 @@ def possible_links(links: DataFrame, nodes: DataFrame, threshold: float) -> Data
     return links.join(ends[0], "u").join(ends[1], "v").select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(run, "u long, v long")
 
 
-def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The ``links`` (u, v) whose nodes' shingle sets (``sets``: node, h) have a Jaccard coefficient of ``threshold`` or more.
+def check_links(links: DataFrame, sets: DataFrame, threshold: float, scored: bool = False) -> DataFrame:
+    """The ``links`` (u, v) whose nodes' shingle sets (``sets``: node, h) have a Jaccard coefficient of ``threshold`` or more; with it if ``scored``.
 
     Links are checked in families, the connected components that they form: each set is sent to its family's task once. A
     family of more than ``FAMILY`` shingles is dealt to blocks, and each pair of blocks with links gets the sets that these need.
@@ -542,16 +542,17 @@ def check_links(links: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         values, ends = h.values.to_numpy(), h.offsets.to_numpy()
         order = np.argsort(node)
         u, v = (left.column(c).to_numpy() for c in "uv")
-        keep = np.zeros(len(u), bool)
+        keep, score = np.zeros(len(u), bool), np.zeros(len(u))
         for k, (i, j) in enumerate(zip(order[np.searchsorted(node[order], u)].tolist(), order[np.searchsorted(node[order], v)].tolist())):
             a, b = values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep[k] = both >= threshold * (len(a) + len(b) - both) - 1e-9
+            score[k] = both / (len(a) + len(b) - both)
         release()
-        return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])})
+        return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])} | ({"jaccard": pa.array(score[keep])} if scored else {}))
 
     sent = wanted.join(sets, "node").select(F.col("task").alias("of"), "node", "h")
-    out = materialize(pairs.groupBy("task").cogroup(sent.groupBy("of")).applyInArrow(verify, "u long, v long"), "alike")
+    out = materialize(pairs.groupBy("task").cogroup(sent.groupBy("of")).applyInArrow(verify, "u long, v long" + ", jaccard double" * scored), "alike")
     discard(family, placed, pairs)
     return out
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import id_key, materialize, text_bytes
+from .common import discard, id_key, materialize, text_bytes
+from .similar import check_links, missing_links, parities
 
 # Common words of four languages, the anchors, then words that are skipped in chains as well.
 ANCHORS = frozenset(
@@ -101,33 +102,46 @@ def length_edges(threshold: float, upto: int) -> list[int]:
     return edges
 
 
+def _with_parities(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, n, p, sigs) with ``parities`` m in the place of sigs."""
+
+    def run(batches):
+        for b in batches:
+            m = pa.array([parities(x.values.to_numpy().view(np.uint64)) for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), m], ["node", "n", "p", "m"])
+
+    return rows.mapInArrow(run, "node long, n int, p array<long>, m binary")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
     """(a, b, jaccard): pairs of representatives of equal signature sets with similarity of ``threshold`` or more; a < b.
 
-    Equal sets are folded to their smallest id first. Sets are then partitioned by length; each row stands in its own
-    partition and in the one above. Inside a partition the sets meet by prefix: of sets alike to ``threshold``, the rarest
-    ``size - ceil(threshold * size) + 1`` signatures share one, so only rows that do are compared. ``memberships`` says whom a
-    representative stands for. Rows with null ids count as one document after all others. Empty tables give empty results.
+    Equal sets are folded first; ``memberships`` says whom a representative, their smallest id, stands for. Sets are then
+    partitioned by length; each stands in its own partition and in the one above. Inside a partition the sets meet by prefix:
+    of sets alike to ``threshold``, the rarest ``size - ceil(threshold * size) + 1`` signatures share one, so only sets that do are
+    compared. A frequent signature's list is dealt to blocks, pairs are filtered by size and parities where they meet,
+    and the sets of what is left are sent about once, in families; so neither a list nor a family has to fit one task.
+
+    Sets that only rows without ids have are represented by the largest long, whatever their number. Empty tables give empty results.
     """
     each = fingerprints(docs, id_col, text_col, chain)
-    sets = materialize(each.groupBy("sigs", "size").agg(F.min(id_key("id")).alias("key")), "sets")
+    sets = materialize(each.groupBy("sigs", "size").agg(F.min(id_key("id")).alias("key")).withColumn("node", F.xxhash64("sigs")), "sets")
     longest = sets.agg(F.max("size")).first()[0] or 1
     edges = F.array(*[F.lit(x) for x in length_edges(threshold, longest)])
     part = F.size(F.filter(edges, lambda e: e <= F.col("size")))
     rarity = materialize(sets.select(F.explode("sigs").alias("sig")).groupBy("sig").count(), "rarity")
-    terms = sets.select("key", "size", part.alias("part"), F.explode("sigs").alias("sig")).join(rarity, "sig")
-    ordered = terms.groupBy("key", "size", "part").agg(F.sort_array(F.collect_list(F.struct("count", "sig"))).alias("s"))
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-    prefix = materialize(ordered.select("key", "size", "part", F.explode(F.slice("s", F.lit(1), keep)["sig"]).alias("sig")), "prefix")
-    left = prefix.select(F.col("key").alias("a"), F.col("size").alias("na"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("pa"))
-    right = prefix.select(F.col("key").alias("b"), F.col("size").alias("nb"), "sig", "part")
-    found = left.join(right, ["part", "sig"]).where(F.expr("(pa < part or (na < nb or (na = nb and a < b))) and na >= {0} * nb and nb >= {0} * na".format(threshold)))
-    pairs = found.select("a", "b").distinct()
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("sigs").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("key").alias("b"), F.col("sigs").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    score = common / (F.size("x") + F.size("y") - common)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), score.alias("jaccard")).where(F.col("jaccard") >= threshold).distinct()
+    terms = sets.select("node", "size", part.alias("part"), F.explode("sigs").alias("sig")).join(rarity, "sig")
+    ordered = terms.groupBy("node", "size", "part").agg(F.sort_array(F.collect_list(F.struct("count", "sig")))["sig"].alias("s"))
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int") + 1
+    meets = F.flatten(F.transform(F.slice("s", F.lit(1), keep), lambda x: F.array(F.xxhash64(x, "part"), F.xxhash64(x, F.col("part") + 1))))
+    rooted = materialize(_with_parities(ordered.select("node", F.col("size").alias("n"), meets.alias("p"), F.col("s").alias("sigs"))).withColumn("root", F.col("node")), "prefix")
+    links = missing_links(rooted, threshold)
+    alike = check_links(links, sets.select("node", F.col("sigs").alias("h")), threshold, scored=True)
+    names = [sets.select(F.col("node").alias(c), F.col("key").alias(f"key{c}")) for c in "uv"]
+    pairs = alike.join(names[0], "u").join(names[1], "v")
+    out = materialize(pairs.select(F.least("keyu", "keyv").alias("a"), F.greatest("keyu", "keyv").alias("b"), "jaccard"), "pairs")
+    discard(sets, rarity, rooted, links, alike)
+    return out
 
 
 # --- fingerprints beside those of the edited text and of the next document
