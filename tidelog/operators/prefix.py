@@ -24,17 +24,23 @@ def running(df: DataFrame, keys: list[str], order: list, sums: dict[str, tuple[C
     if bucket is None:
         window = W.Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: F.coalesce(F.sum(v.cast("long")).over(window.rowsBetween(_ALL, 0 if own else -1)), F.lit(0).cast("long")) for n, (v, own) in sums.items()})
-    rows = df.withColumns({"__bucket": bucket, **{f"__v_{n}": v.cast("long") for n, (v, _) in sums.items()}})
-    totals = rows.groupBy(*keys, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    before = W.Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(_ALL, -1)
-    totals = totals.select(*keys, "__bucket", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
-    # null-safe, as groups are
-    renamed = totals.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__bucket"]})
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__bucket"]]
-    window = W.Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    rows = df.withColumns({"__in": _part(keys, bucket), **{f"__v_{n}": v.cast("long") for n, (v, _) in sums.items()}})
+    totals = rows.groupBy("__in").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    totals = totals.select("__in", *[F.coalesce(F.sum(f"__t_{n}").over(_before(keys)), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    window = W.Window.partitionBy("__in").orderBy(*order)
     parts = rows.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(window.rowsBetween(_ALL, 0 if own else -1)), F.lit(0).cast("long")) for n, (_, own) in sums.items()})
-    joined = parts.join(renamed, same)
-    return joined.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums}).select(*df.columns, *sums)
+    return parts.join(totals, "__in").withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums}).select(*df.columns, *sums)
+
+
+def _part(keys: list[str], bucket: Column) -> Column:
+    """(keys, bucket) as one value. It is never null, and equal where its parts are equal or both null: so rows are shuffled by it once, for the
+    window and for the join."""
+    return F.struct(*keys, bucket.alias("__bucket"))
+
+
+def _before(keys: list[str]) -> W.WindowSpec:
+    """The buckets before one's own."""
+    return W.Window.partitionBy(*[F.col(f"__in.{k}") for k in keys]).orderBy("__in.__bucket").rowsBetween(_ALL, -1)
 
 
 #: How a running value is formed inside a window, from the totals of buckets, and from both.
@@ -45,21 +51,22 @@ _FOLDS = {
 }
 
 
-def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], bucket: Column | None = None) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], bucket: Column | None = None, source: DataFrame | None = None) -> DataFrame:
     """``df`` with running values, the row's own included: name -> (max, min or last, value); nulls are passed over.
 
-    ``order`` are columns, ascending; rows that are equal in all of them stand in any order.
+    ``order`` are columns, ascending; rows that are equal in all of them stand in any order. ``source`` has the same rows, for the
+    buckets' totals, where ``df`` itself takes more to compute.
     """
     if bucket is None:
         window = W.Window.partitionBy(*keys).orderBy(*order).rowsBetween(_ALL, 0)
         return df.withColumns({n: _FOLDS[kind][0](v).over(window) for n, (kind, v) in values.items()})
-    rows = df.withColumns({"__bucket": bucket, **{f"__v_{n}": v for n, (_, v) in values.items()}})
+    folds = {n: _FOLDS[kind] for n, (kind, _) in values.items()}
+    cut = {"__in": _part(keys, bucket), **{f"__v_{n}": v for n, (_, v) in values.items()}}
     at = F.struct(*order)
-    of_bucket = [F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) if kind == "last" else _FOLDS[kind][0](F.col(f"__v_{n}")) for n, (kind, _) in values.items()]
-    totals = rows.groupBy(*keys, "__bucket").agg(*[t.alias(f"__t_{n}") for t, n in zip(of_bucket, values)])
-    before = W.Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(_ALL, -1)
-    totals = totals.select(*[F.col(k).alias(f"__k_{k}") for k in [*keys, "__bucket"]], *[_FOLDS[kind][0](F.col(f"__t_{n}")).over(before).alias(f"__b_{n}") for n, (kind, _) in values.items()])
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__bucket"]]
-    window = W.Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(_ALL, 0)
-    parts = rows.withColumns({n: _FOLDS[kind][0](F.col(f"__v_{n}")).over(window) for n, (kind, _) in values.items()})
-    return parts.join(totals, same).withColumns({n: _FOLDS[kind][1](F.col(f"__b_{n}"), F.col(n)) for n, (kind, _) in values.items()}).select(*df.columns, *values)
+    totals = (df if source is None else source).withColumns(cut).groupBy("__in").agg(
+        *[(F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) if kind == "last" else folds[n][0](F.col(f"__v_{n}"))).alias(f"__t_{n}") for n, (kind, _) in values.items()]
+    )
+    totals = totals.select("__in", *[f(F.col(f"__t_{n}")).over(_before(keys)).alias(f"__b_{n}") for n, (f, _) in folds.items()])
+    window = W.Window.partitionBy("__in").orderBy(*order).rowsBetween(_ALL, 0)
+    parts = df.withColumns(cut).withColumns({n: f(F.col(f"__v_{n}")).over(window) for n, (f, _) in folds.items()})
+    return parts.join(totals, "__in").withColumns({n: both(F.col(f"__b_{n}"), F.col(n)) for n, (_, both) in folds.items()}).select(*df.columns, *values)

@@ -24,7 +24,7 @@ def caught_up(events: DataFrame, leader_id: int, keys: list[str] = KEYS, bucket:
     along seq, splits a long history over tasks.
     """
     rows = carried(events, keys, ["seq"], {"__leader": ("max", F.when(F.col("broker_id") == leader_id, F.col("leo")))}, bucket)
-    rows = carried(rows, [*keys, "broker_id"], ["seq"], {"__own": ("max", F.col("leo"))}, bucket)
+    rows = carried(rows, [*keys, "broker_id"], ["seq"], {"__own": ("max", F.col("leo"))}, bucket, events)
     return rows.groupBy(*keys, "broker_id").agg(F.max("leo").alias("leo"), F.max(F.when(F.col("__own") >= F.coalesce("__leader", F.lit(0)), F.col("ts"))).alias("last_caught_up_ms"))
 
 

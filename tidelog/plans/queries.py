@@ -546,7 +546,7 @@ def producer_batches(spark, sf):
 @query(sql("""SELECT worker, l[CAST(least(len(l) * 50 // 100, len(l) - 1) + 1 AS BIGINT)] AS p50, l[CAST(least(len(l) * 95 // 100, len(l) - 1) + 1 AS BIGINT)] AS p95, l[CAST(least(len(l) * 99 // 100, len(l) - 1) + 1 AS BIGINT)] AS p99, l[len(l)] AS max, CAST(len(l) AS BIGINT) AS n
 FROM (SELECT worker, list_sort(list(us)) AS l FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY worker) AS n FROM lat) WHERE rn > greatest(1, n // 10) GROUP BY worker)""", "lat"))
 def latency_percentiles(spark, sf):
-    rows = stats.after_warm_up(derive.latencies(spark, sf), ["worker"], ["ts", "event_id"], derive.hour())
+    rows = stored(stats.after_warm_up(derive.latencies(spark, sf), ["worker"], ["ts", "event_id"], derive.hour()).select("worker", "us"), "measured")
     return stats.percentiles(rows, ["worker"], "us", {"p50": 50, "p95": 95, "p99": 99}, 1_000)
 
 
