@@ -49,6 +49,16 @@ def test_streams_equal_batch(spark):
         assert sorted(map(tuple, q[stream](spark, SF).collect()), key=repr) == sorted(map(tuple, q[batch](spark, SF).collect()), key=repr)
 
 
+@pytest.mark.parametrize("shift", [0, 52_767, 2_152_484, -2_142_484])
+def test_primitives_take_low_bytes_of_large_keys(spark, duck, tmp_path, shift):
+    """Keys past what 8, 16 and 32 bits hold, on both sides."""
+    duck.execute(f"COPY (SELECT c_custkey + {shift} - 75 AS c_custkey, c_name FROM customer) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    got = registry.queries()["codec_primitives"](spark, str(tmp_path))
+    found = duck.execute(f"WITH customer AS (SELECT * FROM '{tmp_path}/customer.parquet') " + registry.oracle_sql()["codec_primitives"])
+    names = [d[0] for d in found.description]
+    assert _rows(got.columns, got.collect()) == _rows(names, found.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -289,7 +289,8 @@ _NUMBERS = {"i8": ("tinyint", 1, "c_custkey % 256 - 128"), "i16": ("smallint", 2
 @query("SELECT c_custkey, " + " || ".join([*(_INT(f"({e})", w) for _, w, e in _NUMBERS.values()), "CASE WHEN c_custkey % 2 = 0 THEN '01' ELSE '00' END", "CASE WHEN c_custkey % 5 = 0 THEN 'FFFF' ELSE " + _string(_T) + " END", "CASE WHEN c_custkey % 7 = 0 THEN 'FFFFFFFF' ELSE " + _blob(_T) + " END"]) + " AS encoded FROM customer")
 def codec_primitives(spark, sf):
     layout = (*((k, k) for k in _NUMBERS), ("flag", "bool"), ("text", "string?"), ("data", "bytes?"))
-    fields = ", ".join(f"'{k}', cast({e} as {t})" for k, (t, _, e) in _NUMBERS.items())
+    # the low bytes of each number, as the SQL has them; a cast alone fails on a number that needs more
+    fields = ", ".join(f"'{k}', cast(shiftright(shiftleft(cast({e} as bigint), {64 - 8 * w}), {64 - 8 * w}) as {t})" for k, (t, w, e) in _NUMBERS.items())
     value = F.expr(f"named_struct({fields}, 'flag', c_custkey % 2 = 0, 'text', if(c_custkey % 5 = 0, null, c_name), 'data', if(c_custkey % 7 = 0, null, cast(c_name as binary)))")
     rows = encode_bodies(derive.table(spark, sf, "customer").select("c_custkey", value.alias("v")), "v", layout, "first").drop("v")
     return encode_bodies(decode_bodies(rows, "first", layout), "body", layout).select("c_custkey", F.hex("encoded").alias("encoded"))
